@@ -5,13 +5,22 @@ in for. One Aho-Corasick automaton finds lexicon terms and exception phrases in
 a term counts only as a whole word and only outside every exception phrase. The summed weight is divided by
 the number of words, so a long text needs proportionally more of it.
 
-Defined cases: a null, empty or blank text has score 0 and is not toxic; every row is scored on its own, so
+The lexicon has a written part and a fitted one. The fitted terms come from the ``labels`` table: words of at least
+MIN_SUPPORT labelled toxic texts, of which labelled clean texts have at most MAX_CLEAN as many, weigh
+FITTED_WEIGHT. They carry terms of languages that the written part lacks; an accent can tell two words of those
+apart, so fitted terms are sought in a text whose accents stay. The fit reads a bounded sample, the
+MAX_LABELLED labelled ids of least hash (all of them, if fewer); identical texts count once, so that copies
+are not evidence. Without labels the written part stands alone.
+
+Defined cases: null labels and labels of unknown documents are left out, an id with several labels is toxic if one
+is; a null, empty or blank text has score 0 and is not toxic; every row is scored on its own, so
 repeated rows and ties give the same score each; an empty table gives an empty table; a null ``doc_id`` is
 carried along; extra columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +47,12 @@ EXCEPTIONS: tuple[str, ...] = (
 )
 #: Weight per 100 words, in whole terms, from which a text is rejected.
 THRESHOLD = 0.5
+#: Labelled ids that the fit reads at most.
+MAX_LABELLED = 20_000
+#: Toxic texts that a fitted term needs, and clean ones it may have for each of them.
+MIN_SUPPORT, MAX_CLEAN = 5, 0.15
+#: Weight in tenths of a fitted term, half that of a written one: one of a hundred words reaches the threshold.
+FITTED_WEIGHT = 5
 
 _LOOKALIKES = {
     "a": "àáâãäåāăąаαɑａ", "b": "ьｂ", "c": "çćčсϲｃ", "d": "ďԁｄ", "e": "èéêëēęěеёεｅ", "f": "ｆ", "g": "ğɡｇ", "h": "һｈ",
@@ -48,6 +63,10 @@ _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 FOLD_FROM = "".join(_LOOKALIKES.values()) + "".join(_DIGITS)
 FOLD_TO = "".join(k * len(v) for k, v in _LOOKALIKES.items()) + "".join(_DIGITS.values())
 _TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
+#: The same without accents: letters of other scripts and digits only.
+_LIGHT = [(a, b) for a, b in zip(FOLD_FROM, FOLD_TO) if not unicodedata.normalize("NFD", a).startswith(b)]
+LIGHT_FROM, LIGHT_TO = ("".join(x) for x in zip(*_LIGHT))
+_LIGHT_TABLE = str.maketrans(LIGHT_FROM, LIGHT_TO)
 
 
 def fold(text: str) -> str:
@@ -56,8 +75,11 @@ def fold(text: str) -> str:
 
 
 def build_automaton(lexicon: dict[str, int] = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS):
+    """The automaton of terms and phrases; none where there are none."""
     import ahocorasick
 
+    if not lexicon:
+        return None
     auto = ahocorasick.Automaton()
     for term, weight in lexicon.items():
         auto.add_word(term, (len(term), weight, term))
@@ -82,38 +104,65 @@ def matches(folded: str, auto) -> list[tuple[int, int, int, str]]:
     return found
 
 
-def score_text(text: str | None, auto) -> tuple[float, str]:
-    """(weight per 100 words, the distinct terms sorted and joined by commas)."""
+def score_text(text: str | None, auto, fitted=None) -> tuple[float, str]:
+    """(weight per 100 words, the distinct terms sorted and joined by commas); ``fitted`` is the automaton of the fitted terms."""
     if not text:
         return 0.0, ""
-    hits = matches(fold(text), auto)
+    lower = text.lower()
+    hits = matches(lower.translate(_TABLE), auto)
+    if fitted is not None:
+        hits += matches(lower.translate(_LIGHT_TABLE), fitted)
     if not hits:
         return 0.0, ""
     words = len(text.split()) or 1
     return round(10.0 * sum(h[2] for h in hits) / words, 4), ",".join(sorted({h[3] for h in hits}))
 
 
-@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("terms", T.StringType())]))
-def toxicity_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    auto = build_automaton()
-    for batch in texts:
-        yield pd.DataFrame([score_text(t, auto) for t in batch], columns=["score", "terms"])
+_RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("terms", T.StringType())])
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def toxicity_udf(fitted: tuple[str, ...] = ()):
+    """The scoring function over the written lexicon and ``fitted`` terms; a task builds its automata once."""
+
+    @F.pandas_udf(_RESULT)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        auto, more = build_automaton(), build_automaton(dict.fromkeys(fitted, FITTED_WEIGHT), ())
+        for batch in texts:
+            yield pd.DataFrame([score_text(t, auto, more) for t in batch], columns=["score", "terms"])
+
+    return score
+
+
+def fitted_terms(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """term, toxic, clean of the words that labelled toxic texts have and clean ones hardly, none of them a written term."""
+    rated = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    sample = rated.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(F.md5("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.any_value("text").alias("text"))
+    folded = F.translate(F.lower("text"), LIGHT_FROM, LIGHT_TO)
+    words = texts.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
+    counts = words.groupBy("term").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+    return counts.filter((F.col("toxic") >= MIN_SUPPORT) & (F.col("clean") <= F.col("toxic") * MAX_CLEAN)).filter(~F.translate("term", FOLD_FROM, FOLD_TO).isin(*LEXICON))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[str, ...]:
+    """The fitted terms, sorted; the sample's bound bounds their number."""
+    return tuple(sorted(r["term"] for r in fitted_terms(docs, labels, most).select("term").collect()))
+
+
+def scored(docs: DataFrame, fitted: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, terms of every row."""
-    return docs.select("doc_id", toxicity_udf("text").alias("_llm_tox")).select("doc_id", "_llm_tox.score", "_llm_tox.terms")
+    return docs.select("doc_id", toxicity_udf(fitted)("text").alias("_llm_tox")).select("doc_id", "_llm_tox.score", "_llm_tox.terms")
 
 
-def toxic_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxic_documents(docs: DataFrame, fitted: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and terms of the rows whose score reaches ``threshold``."""
-    return scored(docs).filter(F.col("score") >= threshold)
+    return scored(docs, fitted).filter(F.col("score") >= threshold)
 
 
-def drop_toxic(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, fitted: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score stays under ``threshold``, with their columns as they were; no shuffle."""
     names = docs.columns
-    return docs.withColumn("_llm_tox", toxicity_udf("text")).filter(F.col("_llm_tox.score") < threshold).select(*[F.col(f"`{c}`") for c in names])
+    return docs.withColumn("_llm_tox", toxicity_udf(fitted)("text")).filter(F.col("_llm_tox.score") < threshold).select(*[F.col(f"`{c}`") for c in names])
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
@@ -121,10 +170,17 @@ def oracle(threshold: float = THRESHOLD) -> str:
     lexicon = ", ".join(f"('{t}', {w})" for t, w in LEXICON.items())
     phrases = "|".join(sorted(EXCEPTIONS, key=lambda p: (-len(p), p)))
     return f"""
-WITH lex(term, w) AS (VALUES {lexicon}),
+WITH written(term, w) AS (VALUES {lexicon}),
+rated AS (SELECT doc_id, max(toxic) > 0 AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {MAX_LABELLED}),
+rtext AS (SELECT text, max(toxic) AS toxic FROM documents JOIN rated USING (doc_id) GROUP BY text),
+rword AS (SELECT toxic, unnest(list_distinct(regexp_extract_all(translate(lower(text), '{LIGHT_FROM}', '{LIGHT_TO}'), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM rtext),
+fitted AS (SELECT term FROM rword GROUP BY term HAVING count(*) FILTER (toxic) >= {MIN_SUPPORT} AND count(*) FILTER (NOT toxic) <= count(*) FILTER (toxic) * {MAX_CLEAN}),
 folded AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n,
-                  regexp_replace(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '\\b({phrases})\\b', ' ', 'g') AS f FROM documents),
-tok AS (SELECT doc_id, n, unnest(regexp_extract_all(f, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM folded)
+                  regexp_replace(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'), '\\b({phrases})\\b', ' ', 'g') AS f, translate(lower(text), '{LIGHT_FROM}', '{LIGHT_TO}') AS g FROM documents),
+tok AS (SELECT doc_id, n, unnest(regexp_extract_all(f, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM folded),
+tog AS (SELECT doc_id, n, unnest(regexp_extract_all(g, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM folded),
+hit AS (SELECT doc_id, n, term, w FROM tok JOIN written USING (term)
+        UNION ALL SELECT doc_id, n, term, {FITTED_WEIGHT} FROM tog JOIN fitted USING (term) WHERE translate(term, '{FOLD_FROM}', '{FOLD_TO}') NOT IN (SELECT term FROM written))
 SELECT doc_id, round(10.0 * sum(w) / any_value(n), 4) AS score, array_to_string(list_sort(list_distinct(list(term))), ',') AS terms
-FROM tok JOIN lex USING (term) GROUP BY doc_id HAVING round(10.0 * sum(w) / any_value(n), 4) >= {threshold}
+FROM hit GROUP BY doc_id HAVING round(10.0 * sum(w) / any_value(n), 4) >= {threshold}
 """
