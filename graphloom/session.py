@@ -21,11 +21,16 @@ def build_session(name: str = "graphloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read on from there; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors see; one of our own only where none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

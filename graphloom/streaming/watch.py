@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graphloom.session import shared_folder
+
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_trigger: int = 1) -> DataFrame:
     """path, event_id, ts, hash of event files as they come."""
@@ -43,3 +46,12 @@ def hash_gate(feed: DataFrame) -> DataFrame:
 def apply_batches(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand every micro-batch to ``apply``, once the one before is done; resumes from ``checkpoint``."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_once(result: DataFrame) -> DataFrame:
+    """Run a stream over all input there is and read back its rows; files go to the session's shared folder."""
+    spark = result.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = result.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{folder}/rows")
