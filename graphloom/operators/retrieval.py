@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import basic_tokens, doc_tokens
+from graphloom.functions.text import basic_tokens, doc_tokens, expand_synonyms, split_identifier
 
 K1, B = 1.5, 0.75
 FTS_K1, FTS_B = 1.2, 0.75
 MAX_VOCABULARY, MAX_RANK, POWER_STEPS = 2000, 96, 64
 
 
-def postings(docs: DataFrame, tokens: Column, counted: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, tokens: Callable[[str], Column] = doc_tokens) -> DataFrame:
+    """id, toks, len. One projection for each step, so that no step is worked out again for the next."""
+    if tokens is doc_tokens:
+        toks = docs.select("id", split_identifier("text").alias("words")).select("id", expand_synonyms(F.col("words")).alias("toks"))
+    else:
+        toks = docs.select("id", tokens("text").alias("toks"))
+    return toks.select("id", "toks", F.size("toks").alias("len"))
+
+
+def exploded(sized: DataFrame) -> DataFrame:
+    """id, len, term. The outer form, as the inner one would have its input tested below the projections that make it."""
+    return sized.select("id", "len", F.explode_outer("toks").alias("term")).filter("term is not null")
+
+
+def postings(docs: DataFrame, tokens: Callable[[str], Column] = doc_tokens, counted: bool = False) -> DataFrame:
     """id, term, tf, len. Without ``counted`` the tokens are distinct already, so no shuffle is needed."""
-    each = docs.select("id", F.explode(tokens).alias("term"), F.size(tokens).alias("len"))
+    each = exploded(tokenised(docs, tokens))
     return each.groupBy("id", "term", "len").agg(F.count("*").alias("tf")) if counted else each.withColumn("tf", F.lit(1).cast("long"))
 
 
@@ -26,17 +42,16 @@ def query_terms(query: str, spark, tokens=doc_tokens) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
-    return postings(docs, doc_tokens("text")).groupBy("term").agg(F.count("*").alias("df"))
+    return postings(docs).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(docs: DataFrame, query: str, k1: float = K1, b: float = B, tokens=doc_tokens, counted: bool = False) -> DataFrame:
     """id, score > 0 of the documents for a query. Only the query's terms leave the scan."""
     spark = docs.sparkSession
-    toks = tokens(F.col("text"))
-    sized = docs.select("id", toks.alias("toks"), F.size(toks).alias("len"))
+    sized = tokenised(docs, tokens)
     total = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     terms = query_terms(query, spark, tokens)
-    each = sized.select("id", "len", F.explode("toks").alias("term")).join(F.broadcast(terms), "term")
+    each = exploded(sized).join(F.broadcast(terms), "term")
     tf = each.groupBy("id", "len", "term").agg(F.count("*").alias("tf")) if counted else each.withColumn("tf", F.lit(1))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
@@ -79,7 +94,7 @@ def vocabulary(docs: DataFrame, size: int = MAX_VOCABULARY) -> DataFrame:
 
 def tfidf(docs: DataFrame, size: int = MAX_VOCABULARY) -> DataFrame:
     """id, term, val over the kept vocabulary; a document's length counts all its terms."""
-    return postings(docs, doc_tokens("text")).join(F.broadcast(vocabulary(docs, size)), "term").select("id", "term", (F.col("idf") / F.greatest("len", F.lit(1))).alias("val"))
+    return postings(docs).join(F.broadcast(vocabulary(docs, size)), "term").select("id", "term", (F.col("idf") / F.greatest("len", F.lit(1))).alias("val"))
 
 
 def cosine(vectors: DataFrame, query: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def two_gate_changes(s, d):
     return I.two_gates(L.version_feed(s, d))
 
 
-@query(f"""WITH {_FEED}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id)) >= {GAP_SECONDS} * 1000000 THEN 1 ELSE 0 END AS cut FROM feed),
+@query(f"""WITH {_FEED}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id)) >= {GAP_SECONDS * 1_000_000}::BIGINT THEN 1 ELSE 0 END AS cut FROM feed),
 b AS (SELECT *, sum(cut) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM g)
 SELECT path, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM b GROUP BY path, burst""")
 def debounce_sessions(s, d):

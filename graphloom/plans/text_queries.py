@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
@@ -41,8 +43,7 @@ def tokens_semantic(spark, d):
 
 @query(f"WITH {S.TERMS} SELECT id, len::INT AS n_tokens, md5(coalesce((SELECT string_agg(term, ' ' ORDER BY term) FROM terms t WHERE t.id = s.id), '')) AS digest FROM sizes s")
 def synonym_expand(spark, d):
-    toks = F.array_sort(X.doc_tokens("text"))
-    return symbol_documents(spark, d).select("id", *_digest(toks))
+    return R.tokenised(symbol_documents(spark, d)).select("id", F.array_sort("toks").alias("toks")).select("id", *_digest(F.col("toks")))
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -126,8 +127,8 @@ def _two_lists(spark, d, k):
 
 def _two_sql(k: int) -> str:
     a = f"{S.TERMS}, {S.query_terms(QUERY)}, {S.BM25}, l1 AS (SELECT id, round(score, 6) AS score FROM scored ORDER BY 2 DESC, 1 LIMIT {k})"
-    again = (S.query_terms(_QUERY2) + ", " + S.BM25.strip()).replace("qw", "qw2").replace("q AS", "q2 AS").replace("JOIN q USING", "JOIN q2 USING").replace("tot", "tot2").replace("hit", "hit2").replace("dfq", "dfq2").replace("scored", "scored2")
-    return f"{a}, {again}, l2 AS (SELECT id, round(score, 6) AS score FROM scored2 ORDER BY 2 DESC, 1 LIMIT {k}), ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM l1 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM l2), fused AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM ranked GROUP BY id)"
+    again = re.sub(r"\b(qw|q|tot|hit|dfq|scored)\b", r"\g<1>_2", S.query_terms("@") + ", " + S.BM25.strip()).replace("@", _QUERY2)
+    return f"{a}, {again}, l2 AS (SELECT id, round(score, 6) AS score FROM scored_2 ORDER BY 2 DESC, 1 LIMIT {k}), ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM l1 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM l2), fused AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM ranked GROUP BY id)"
 
 
 @query(f"WITH {_two_sql(24)} SELECT id, round(score, 6) AS score FROM fused ORDER BY 2 DESC, 1 LIMIT 8")
