@@ -34,8 +34,10 @@ from graphloom.llm.vectors import row_hash, to_matrix, valid_vectors
 
 NEIGHBOURS = 10
 PROJECTIONS, WIDTH, MISS = 64, 1.0, 0.03
-FIRST_RADIUS, GROWTH = 0.25, 1.5
-BLOCK = 8192
+FIRST_RADIUS, GROWTH, PROBES = 0.9, 1.5, 32
+#: Share of the sorted arrays that windows may hold to be counted by rings.
+RING = 0.05
+BLOCK = 16384
 SEED = 7
 
 
@@ -55,44 +57,84 @@ def collision_threshold(dim: int, m: int = PROJECTIONS, width: float = WIDTH, mi
     return int(np.quantile((np.abs(u @ directions(dim, m)) <= width / math.sqrt(dim)).sum(axis=1), miss, method="lower"))
 
 
+def _gaps(data: np.ndarray, square: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of ``q`` from the rows of ``data``."""
+    return np.sqrt(np.maximum(square + q @ q - 2 * (data @ q), 0))
+
+
 class CollisionIndex:
-    def __init__(self, data: np.ndarray, ids: np.ndarray):
+    """The sorted array of each projection, and the position of every vector in it."""
+
+    def __init__(self, data: np.ndarray, ids: np.ndarray, k: int = NEIGHBOURS):
         self.data, self.ids, self.dim = data, ids, data.shape[1]
         self.square = (data * data).sum(axis=1)
         p = data @ directions(self.dim)
-        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.sort(p, axis=0).T)
+        order = np.argsort(p, axis=0, kind="stable")
+        #: All sorted arrays in one: each lies a span above the one before, so one search finds the ends of all windows.
+        self.span = 4 * float(np.abs(p).max(initial=1.0))
+        self.starts = np.arange(p.shape[1]) * len(data)
+        self.sorted = (np.take_along_axis(p, order, axis=0) + np.arange(p.shape[1]) * self.span).T.ravel()
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        kind = np.uint16 if len(data) < 1 << 16 else np.uint32
+        self.position = np.empty(self.order.shape, dtype=kind)
+        np.put_along_axis(self.position, self.order, np.arange(len(data), dtype=kind)[None, :], axis=1)
+        self._shifted, self._inside = np.empty_like(self.position), np.empty(self.position.shape, dtype=bool)
         self.threshold = collision_threshold(self.dim)
-        self.scale = FIRST_RADIUS * float(np.sqrt(np.median(self.square))) if len(data) else 0.0
+        self.scale = self._first_radius(k)
+
+    def _first_radius(self, k: int) -> float:
+        """FIRST_RADIUS of the median distance of PROBES rows from their k-th neighbour."""
+        n = len(self.data)
+        if n < 2:
+            return 1.0
+        at = np.unique(np.linspace(0, n - 1, PROBES).astype(int))
+        kth = min(k, n - 1)
+        return FIRST_RADIUS * float(np.median([np.partition(_gaps(self.data, self.square, self.data[i]), kth)[kth] for i in at])) or 1.0
+
+    def _ends(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Where ``at`` falls in each sorted array; beyond a span's reach is an array's end."""
+        reach = self.span / 2
+        return self.sorted.searchsorted(np.clip(at, -reach, reach) + np.arange(len(at)) * self.span, side) - self.starts
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the best k verified, in order."""
+        """(ids, distances) of the best k verified, in order.
+
+        Narrow windows are counted ring by ring; once they hold more than a share RING of the vectors, it is cheaper to ask each
+        vector whether its position lies in the window.
+        """
         n, m = len(self.data), len(self.order)
         counts = np.zeros(n, dtype=np.int64)
         at = q @ directions(self.dim)
-        low = high = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(m)])
+        low = high = self._ends(at, "left")
         distance = np.full(n, np.inf)
         seen = self.ids == own
         usable = n - int(seen.sum())
-        radius, root = self.scale or 1.0, math.sqrt(self.dim)
+        radius, root = self.scale, math.sqrt(self.dim)
         while True:
             w = WIDTH * radius / root
-            lo = np.array([np.searchsorted(self.sorted[j], at[j] - w, side="left") for j in range(m)])
-            hi = np.array([np.searchsorted(self.sorted[j], at[j] + w, side="right") for j in range(m)])
-            lo, hi = np.minimum(lo, low), np.maximum(hi, high)
-            rings = [self.order[j, lo[j] : low[j]] for j in range(m)] + [self.order[j, high[j] : hi[j]] for j in range(m)]
-            counts += np.bincount(np.concatenate(rings), minlength=n)
-            low, high = lo, hi
+            lo, hi = self._ends(at - w, "left"), self._ends(at + w, "right")
+            if (hi - lo).sum() <= RING * n * m:
+                lo, hi = np.minimum(lo, low), np.maximum(hi, high)
+                rings = [self.order[j, lo[j] : low[j]] for j in range(m)] + [self.order[j, high[j] : hi[j]] for j in range(m)]
+                counts += np.bincount(np.concatenate(rings), minlength=n)
+                low, high = lo, hi
+            else:
+                kind = self.position.dtype.type
+                np.subtract(self.position, lo.astype(kind)[:, None], out=self._shifted)  # unsigned: what is below lo comes out far above
+                inside = np.less(self._shifted, (hi - lo).astype(kind)[:, None], out=self._inside)
+                counts = inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.int64)
             new = np.flatnonzero((counts >= self.threshold) & ~seen)
             if len(new):
                 seen[new] = True
-                distance[new] = np.sqrt(np.square(self.data[new] - q).sum(axis=1))
+                distance[new] = _gaps(self.data[new], self.square[new], q) if len(new) * 8 < n else _gaps(self.data, self.square, q)[new]
             found = np.flatnonzero(distance < np.inf)
             kth = np.partition(distance[found], k - 1)[k - 1] if len(found) >= k else np.inf
             if kth <= radius or len(found) == usable:
-                best = found[np.lexsort((self.ids[found], distance[found]))][:k]
-                return self.ids[best], distance[best]
-            radius = min(radius * GROWTH, kth)
+                near = found[distance[found] <= kth + 1e-6]
+                exact = np.sqrt(np.square(self.data[near] - q).sum(axis=1))
+                best = np.lexsort((self.ids[near], exact))[:k]
+                return self.ids[near[best]], exact[best]
+            radius = min(radius * GROWTH, max(kth, radius * 1.01))
 
 
 RESULT = "vec_id long, query_hash long, neighbour_id long, distance double"
@@ -101,9 +143,10 @@ _ARROW = pa.schema([("vec_id", pa.int64()), ("query_hash", pa.int64()), ("neighb
 
 def _search_pair(k: int):
     def search(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("vec_id", "ascending"), ("h", "ascending")])
         asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         vec, ids, hashes = to_matrix(rows), rows.column("vec_id").to_numpy(), rows.column("h").to_numpy()
-        index = CollisionIndex(vec[~asks], ids[~asks])
+        index = CollisionIndex(vec[~asks], ids[~asks], k)
         out: list[tuple] = []
         for q in np.flatnonzero(asks) if len(index.ids) else ():
             near, distance = index.search(vec[q], int(ids[q]), k)
