@@ -170,7 +170,7 @@ def remove_files(nodes: DataFrame, edges: DataFrame, imports: DataFrame, removed
         .join(left_nodes.select(F.col("id").alias("source"), F.col("file_path").alias("sfile"), F.col("language").alias("slang")), "source")
         .join(single, "tfile", "left")
     )
-    cut_off = cut_off.withColumn("row", F.xxhash64("source", "target", "line", "col", "provenance"))
+    cut_off = cut(cut_off.withColumn("row", F.xxhash64("source", "target", "line", "col", "provenance")))  # read three times below
     rows = imports.select(F.col("file").alias("sfile"), F.col("target_file").alias("tfile"), "imported_name", "local_name", "seq")
     named = cut_off.join(rows, ["sfile", "tfile"], "left").filter(
         F.col("imported_name").isNull() | (F.col("imported_name") == F.col("tname")) | ((F.col("imported_name") == "default") & (F.col("only") == F.col("target")))
