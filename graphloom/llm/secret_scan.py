@@ -2,9 +2,9 @@
 
 Three kinds of part are located as character spans of the whole text: access identifiers (key ids, labelled
 users or clients, mail addresses), secrets (labelled values, provider formats, private keys, bare high-entropy
-strings) and endpoints (URLs, IPv4 addresses, labelled hosts). A scope is a line of the text. Inside a scope the
-spans, widened by a window, are interval-joined by a sweep over their sorted starts. A strong secret is reported
-by itself. Every weaker part is reported only where complementary parts co-occur: a weak secret next to an
+strings) and endpoints (URLs, IPv4 addresses, labelled hosts). The scope is the whole document: its spans, widened
+by a window, are interval-joined by searches in their sorted starts and ends, so parts on neighbouring lines meet
+(``.env``, INI and YAML files put each on a line of its own). A strong secret is reported by itself. Every weaker part is reported only where complementary parts co-occur: a weak secret next to an
 identifier or endpoint, an identifier or endpoint next to a secret that is reported.
 
 Defined cases: null, empty and blank texts have no findings; overlapping candidates of a kind keep the one that
@@ -96,11 +96,11 @@ def find_parts(text: str) -> list[Part]:
     return kept
 
 
-def link(text: str, parts: list[Part], window: int = WINDOW) -> list[tuple]:
+def link(text: str, parts: list[Part], window: int = WINDOW, by_line: bool = True) -> list[tuple]:
     """(start, end, kind, rule, confidence, link_start, link_end) of what is reported, in order."""
     if not parts:
         return []
-    breaks = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
+    breaks = [i for i, c in enumerate(text) if c == "\n"] if by_line and "\n" in text else []
     by_scope: dict[int, list[Part]] = {}
     for p in parts:
         by_scope.setdefault(bisect.bisect_left(breaks, p[0]), []).append(p)
@@ -110,13 +110,16 @@ def link(text: str, parts: list[Part], window: int = WINDOW) -> list[tuple]:
         others = [p for p in scope if p[2] != "secret"]
         if not secrets:
             continue
-        starts, reach = [p[0] for p in others], max((p[1] - p[0] for p in others), default=0)
+        kinds = []  # spans of one kind don't overlap, so their ends are sorted as their starts are
+        for kind in ("access_id", "endpoint"):
+            at = [i for i, p in enumerate(others) if p[2] == kind]
+            kinds.append((at, [others[i][0] for i in at], [others[i][1] for i in at]))
         touched: dict[int, Part] = {}
         for s in secrets:
-            near = [
-                i for i in range(bisect.bisect_left(starts, s[0] - window - reach), bisect.bisect_right(starts, s[1] + window))
-                if others[i][1] >= s[0] - window and not (others[i][0] < s[1] and s[0] < others[i][1])
-            ]
+            near = sorted(
+                i for at, starts, ends in kinds for i in at[bisect.bisect_left(ends, s[0] - window) : bisect.bisect_right(starts, s[1] + window)]
+                if not (others[i][0] < s[1] and s[0] < others[i][1])
+            )
             if near:
                 best = min(near, key=lambda i: (max(others[i][0] - s[1], s[0] - others[i][1]), i))
                 found.append((*s[:4], "strong" if s[4] else "linked", *others[best][:2]))
@@ -128,8 +131,14 @@ def link(text: str, parts: list[Part], window: int = WINDOW) -> list[tuple]:
     return sorted(found, key=lambda f: (f[0], f[1], f[2]))
 
 
-def scan_text(text: str | None, window: int = WINDOW) -> list[tuple]:
-    return link(text, find_parts(text), window) if text else []
+def scan_text(text: str | None, window: int = WINDOW, by_line: bool = True) -> list[tuple]:
+    """What is reported where parts are linked inside a line only, or with ``by_line`` false anywhere in the text."""
+    return link(text, find_parts(text), window, by_line) if text else []
+
+
+def scan_document(text: str | None) -> list[tuple]:
+    """What the query and the pipeline report."""
+    return scan_text(text, by_line=False)
 
 
 _NUMBERS = {"span_start", "span_end", "link_start", "link_end"}
@@ -140,12 +149,12 @@ FINDING = T.StructType([T.StructField(x, T.IntegerType() if x in _NUMBERS else T
 @F.pandas_udf(T.ArrayType(FINDING))
 def scan_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield pd.Series([[dict(zip(_FIELDS, (*f, hashlib.sha256(t[f[0] : f[1]].encode("utf-8", "surrogatepass")).hexdigest()))) for f in scan_text(t)] for t in batch], dtype=object)
+        yield pd.Series([[dict(zip(_FIELDS, (*f, hashlib.sha256(t[f[0] : f[1]].encode("utf-8", "surrogatepass")).hexdigest()))) for f in scan_document(t)] for t in batch], dtype=object)
 
 
 def redact(text: str | None) -> str | None:
     """The text with every reported secret and access identifier replaced by a mask; endpoints stay."""
-    found = [f for f in scan_text(text) if f[2] != "endpoint"]
+    found = [f for f in scan_document(text) if f[2] != "endpoint"]
     if not found:
         return text
     out, at = [], 0
