@@ -7,6 +7,10 @@ by a window, are interval-joined by searches in their sorted starts and ends, so
 (``.env``, INI and YAML files put each on a line of its own). A strong secret is reported by itself. Every weaker part is reported only where complementary parts co-occur: a weak secret next to an
 identifier or endpoint, an identifier or endpoint next to a secret that is reported.
 
+Labels are words between ``_``, ``-`` or the humps of camelCase. A labelled value may be of any length; a short one
+is weak like any other. A URL with user information (``scheme://user:password@host``, read up to the last ``@`` before
+the path) is an identifier, a secret and an endpoint that starts at the host.
+
 Defined cases: null, empty and blank texts have no findings; overlapping candidates of a kind keep the one that
 starts first, then the longest; findings of one row do not depend on other rows, so repeated rows repeat theirs;
 a null ``doc_id`` is carried along; an empty table gives no findings; extra columns are neither read nor changed.
@@ -35,8 +39,9 @@ MIN_ENTROPY = 3.0
 STRONG_LENGTH = 20
 MASK = "[REDACTED]"
 
-_VALUE = re.compile(r"[:=][ \t]*[\"'`]?([A-Za-z0-9_\-+/=.@~!#%^&*]{3,})")
+_VALUE = re.compile(r"[:=][ \t]*[\"'`]?([A-Za-z0-9_\-+/=.@~!#%^&*]+)")
 _LABEL = re.compile(r"([A-Za-z][A-Za-z0-9_\-]{0,63})[\"'`]?[ \t]*$")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _SECRET_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:secret|token|passw(?:or)?d|passwd|pwd|passphrase|api[_\-]?key|apikey|private[_\-]?key|secret[_\-]?key|auth|credential|bearer)s?(?:$|[_\-])")
 _ID_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:client[_\-]?id|access[_\-]?key(?:[_\-]?id)?|key[_\-]?id|user(?:[_\-]?name)?|login|account(?:[_\-]?id)?|tenant(?:[_\-]?id)?)$")
 _HOST_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:host(?:name)?|endpoint|server|url|uri|region|bucket)$")
@@ -47,6 +52,7 @@ _BARE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,40}[0-9])[A-Za-z0-9
 _LONG = re.compile(r"[A-Za-z0-9+/_\-]{32,}")
 _MAIL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+")
 _URL = re.compile(r"\b[a-z][a-z0-9+.\-]{1,15}://[^\s\"'<>]+")
+_USERINFO = re.compile(r"://([^\s\"'<>/?#]*)@")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.]*\d)")
 
 Part = tuple[int, int, str, str, bool]  # start, end, kind, rule, strong
@@ -57,31 +63,67 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+def _is_label(kind: re.Pattern, name: str) -> bool:
+    """``dbPassword`` counts as ``db_Password``; whole names count as they are."""
+    return bool(kind.search(name) or kind.search(_HUMP.sub("_", name)))
+
+
+def _url_parts(text: str) -> tuple[list[Part], list[tuple[int, int]]]:
+    """The parts of every URL, and the spans in which no other labelled value or mail address starts."""
+    out: list[Part] = []
+    taken: list[tuple[int, int]] = []
+    for m in _URL.finditer(text):
+        a, b = m.span()
+        info = _USERINFO.match(text, text.index("://", a), b)
+        if not info:
+            out.append((a, b, "endpoint", "url", False))
+            taken.append((a, a + 1))
+            continue
+        user, colon, password = info.group(1).partition(":")
+        at, host = info.start(1), info.end()
+        if user:
+            out.append((at, at + len(user), "access_id", "userinfo", False))
+        if password:
+            out.append((at + len(user + colon), host - 1, "secret", "userinfo", False))
+        if host < b:
+            out.append((host, b, "endpoint", "url", False))
+        taken.append((a, host))
+    return out, taken
+
+
 def find_parts(text: str) -> list[Part]:
     """Every candidate span, without overlap inside a kind, in order of start."""
     out: list[Part] = []
+    taken: list[tuple[int, int]] = []
+    if "://" in text:
+        urls, taken = _url_parts(text)
+        out += urls
+
+    def free(at: int) -> bool:
+        i = bisect.bisect_right(taken, (at, len(text))) - 1
+        return i < 0 or at >= taken[i][1]
+
     if "=" in text or ":" in text:
         for m in _VALUE.finditer(text):
             label = _LABEL.search(text, max(0, m.start() - 70), m.start())
-            if not label:
+            if not label or not free(m.start(1)):
                 continue
-            name, value, (a, b) = label.group(1), m.group(1).rstrip(".,"), m.span(1)
+            name, value, a = label.group(1), m.group(1).rstrip(".,"), m.start(1)
             b = a + len(value)
-            if _SECRET_LABEL.search(name):
-                if len(value) >= 8:
-                    out.append((a, b, "secret", "labelled", len(value) >= STRONG_LENGTH and entropy(value) >= MIN_ENTROPY))
-            elif _ID_LABEL.search(name):
+            if not value.strip("="):
+                continue
+            if _is_label(_SECRET_LABEL, name):
+                out.append((a, b, "secret", "labelled", len(value) >= STRONG_LENGTH and entropy(value) >= MIN_ENTROPY))
+            elif _is_label(_ID_LABEL, name):
                 out.append((a, b, "access_id", "labelled", False))
-            elif _HOST_LABEL.search(name):
+            elif _is_label(_HOST_LABEL, name):
                 out.append((a, b, "endpoint", "labelled", False))
-        if "://" in text:
-            out += [(*m.span(), "endpoint", "url", False) for m in _URL.finditer(text)]
     if "_" in text or "-" in text or "AIza" in text:
         out += [(*m.span(), "secret", "provider", True) for m in _PROVIDER.finditer(text)]
         if "-----BEGIN" in text:
             out += [(*m.span(), "secret", "private_key", True) for m in _PEM.finditer(text)]
     if "@" in text:
-        out += [(*m.span(), "access_id", "mail", False) for m in _MAIL.finditer(text)]
+        out += [(*m.span(), "access_id", "mail", False) for m in _MAIL.finditer(text) if free(m.start())]
     out += [(*m.span(), "endpoint", "ipv4", False) for m in _IP.finditer(text)]
     if _LONG.search(text):
         out += [(*m.span(), "access_id", "key_id", False) for m in _KEY_ID.finditer(text)]

@@ -207,6 +207,17 @@ def test_documents_are_linked_across_lines(spark, text, masked):
     assert secret_scan.redact_secrets(frame).head().text == want
 
 
+@pytest.mark.parametrize("text, masked", [
+    ("user=bob password=abc123 host=db.example.com", "user={0} password={0} host=db.example.com"), ("user=bob password=x", "user={0} password={0}"),
+    ("postgres://admin:S3cretPw99@db.example.com", "postgres://{0}:{0}@db.example.com"), ("DATABASE_URL=postgres://user:p@ss@db:5432/x", "DATABASE_URL=postgres://{0}:{0}@db:5432/x"),
+    ("redis://:hunter2@cache", "redis://:{0}@cache"), ("ssh://bob@db.example.com", "ssh://bob@db.example.com"), ("token: https://a.b/c me@site.org", "token: https://a.b/c me@site.org"),
+    ("dbPassword: hunter2hunter host: db.local", "dbPassword: {0} host: db.local"), (f'clientSecret = "{KEY}"', 'clientSecret = "{0}"'), (f"accessToken={KEY}", "accessToken={0}"),
+    ("if password == secret: pass", "if password == secret: pass"), ("password=abc123", "password=abc123"),
+])
+def test_weak_parts_are_kept_for_linking(text, masked):
+    assert secret_scan.redact(text) == masked.format(secret_scan.MASK)
+
+
 def test_linking_of_documents_equals_brute_force():
     rng = random.Random(10)
     bits = ["user: bob", "password: hunter2hunter", "https://db.local/x", f'secret_key="{KEY}"', "filler " * 12, "\n", "me@site.org", "10.0.0.1"]
