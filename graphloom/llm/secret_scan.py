@@ -9,7 +9,8 @@ identifier or endpoint, an identifier or endpoint next to a secret that is repor
 
 Labels are words between ``_``, ``-`` or the humps of camelCase. A labelled value may be of any length; a short one
 is weak like any other. A URL with user information (``scheme://user:password@host``, read up to the last ``@`` before
-the path) is an identifier, a secret and an endpoint that starts at the host.
+the path) is an identifier, a secret and an endpoint that starts at the host. A private key reaches to the END line of its label,
+whatever its length and headers; without one it takes the rest of the text.
 
 Defined cases: null, empty and blank texts have no findings; overlapping candidates of a kind keep the one that
 starts first, then the longest; findings of one row do not depend on other rows, so repeated rows repeat theirs;
@@ -46,7 +47,7 @@ _SECRET_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:secret|token|passw(?:or)?d|passwd
 _ID_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:client[_\-]?id|access[_\-]?key(?:[_\-]?id)?|key[_\-]?id|user(?:[_\-]?name)?|login|account(?:[_\-]?id)?|tenant(?:[_\-]?id)?)$")
 _HOST_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:host(?:name)?|endpoint|server|url|uri|region|bucket)$")
 _PROVIDER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|gho_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,})")
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,8192}-----END [A-Z ]*PRIVATE KEY-----)?")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
 _KEY_ID = re.compile(r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}\b")
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,40}[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}(?![A-Za-z0-9+/_\-])")
 _LONG = re.compile(r"[A-Za-z0-9+/_\-]{32,}")
@@ -91,6 +92,24 @@ def _url_parts(text: str) -> tuple[list[Part], list[tuple[int, int]]]:
     return out, taken
 
 
+def _private_keys(text: str) -> list[tuple[int, int]]:
+    """From each BEGIN line to the next END line of the same label, or to the end of the text."""
+    out: list[tuple[int, int]] = []
+    marks = list(_PEM.finditer(text))
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in marks:
+        if m.group(1) == "END":
+            ends.setdefault(m.group(2), []).append(m.span())
+    last = 0
+    for m in marks:
+        if m.group(1) == "BEGIN" and m.start() >= last:
+            own = ends.get(m.group(2), [])
+            i = bisect.bisect_left(own, m.span())
+            last = own[i][1] if i < len(own) else len(text)
+            out.append((m.start(), last))
+    return out
+
+
 def find_parts(text: str) -> list[Part]:
     """Every candidate span, without overlap inside a kind, in order of start."""
     out: list[Part] = []
@@ -121,7 +140,7 @@ def find_parts(text: str) -> list[Part]:
     if "_" in text or "-" in text or "AIza" in text:
         out += [(*m.span(), "secret", "provider", True) for m in _PROVIDER.finditer(text)]
         if "-----BEGIN" in text:
-            out += [(*m.span(), "secret", "private_key", True) for m in _PEM.finditer(text)]
+            out += [(*span, "secret", "private_key", True) for span in _private_keys(text)]
     if "@" in text:
         out += [(*m.span(), "access_id", "mail", False) for m in _MAIL.finditer(text) if free(m.start())]
     out += [(*m.span(), "endpoint", "ipv4", False) for m in _IP.finditer(text)]

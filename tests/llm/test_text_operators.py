@@ -218,6 +218,25 @@ def test_weak_parts_are_kept_for_linking(text, masked):
     assert secret_scan.redact(text) == masked.format(secret_scan.MASK)
 
 
+def pem(label="RSA PRIVATE KEY", lines=20, head=""):
+    rng = random.Random(lines)
+    body = "".join("".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(64)) + "\n" for _ in range(lines))
+    return f"-----BEGIN {label}-----\n{head}{body}-----END {label}-----"
+
+
+@pytest.mark.parametrize("key", [
+    pem(), pem(head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n"), pem(lines=200), pem(lines=20_000), pem("PRIVATE KEY", 3),
+])
+def test_private_keys_are_found_whole(key):
+    text = f"before {key} after"
+    assert [f[:4] for f in secret_scan.scan_document(text)] == [(7, 7 + len(key), "secret", "private_key")]
+    assert secret_scan.redact(text) == f"before {secret_scan.MASK} after"
+    assert secret_scan.redact(f"{text} {key}") == f"before {secret_scan.MASK} after {secret_scan.MASK}"
+    cut = key[: key.index("-----END")]
+    assert secret_scan.redact(f"before {cut}") == f"before {secret_scan.MASK}"
+    assert secret_scan.redact(f"before {cut}{pem('EC PRIVATE KEY', 2)}") == f"before {secret_scan.MASK}"
+
+
 def test_linking_of_documents_equals_brute_force():
     rng = random.Random(10)
     bits = ["user: bob", "password: hunter2hunter", "https://db.local/x", f'secret_key="{KEY}"', "filler " * 12, "\n", "me@site.org", "10.0.0.1"]
