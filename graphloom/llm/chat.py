@@ -10,7 +10,8 @@ broken by a space after ``<|`` so that content can't open or close a turn.
 
 Defined cases: a null or empty role is ``unknown``; a null text is empty content; rows with a null ``conv_id``
 form one conversation; turns are ordered by ``turn`` (nulls first), then role, then text, so ties and repeated
-rows have one order and repeated rows are all kept; an empty table gives an empty table; extra columns are neither
+rows have one order and repeated rows are all kept; a conversation whose text can't be one string value of Spark (2 GiB)
+raises an error that names it; an empty table gives an empty table; extra columns are neither
 read nor returned.
 """
 
@@ -20,14 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: The role whose content is learned.
 LEARNED = "assistant"
+#: Bytes of the longest string value, as the JVM's arrays bound it.
+MAX_TEXT = (1 << 31) - 16
+#: Bytes copied by one set of index arrays.
+COPY = 1 << 24
 
 SCHEMA = "conv_id long, text string, n_turns int, loss_start array<long>, loss_end array<long>"
+_TURNS = pa.schema([("conv_id", pa.int64()), ("role", pa.large_string()), ("text", pa.large_string())])
 _ARROW = pa.schema([("conv_id", pa.int64()), ("text", pa.large_string()), ("n_turns", pa.int32()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64()))])
 
 
@@ -45,10 +52,23 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
     """Copy data[start_i : start_i + size_i] to out[to_i :] for every i."""
-    total = int(size.sum())
-    if total:
-        step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + step] = data[np.repeat(start, size) + step]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        done = int(ends[at] - size[at])
+        upto = max(at + 1, int(np.searchsorted(ends, done + COPY, side="right")))
+        if upto == at + 1:
+            n = int(size[at])
+            out[to[at] : to[at] + n] = data[start[at] : start[at] + n]
+        else:
+            s = size[at:upto]
+            step = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
+            out[np.repeat(to[at:upto], s) + step] = data[np.repeat(start[at:upto], s) + step]
+        at = upto
+
+
+def _too_long(conv: int, known: bool) -> ValueError:
+    return ValueError(f"conversation {int(conv) if known else None} is longer than a string value may be ({MAX_TEXT} bytes)")
 
 
 def assemble(conv: np.ndarray, known: np.ndarray, roles: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -63,12 +83,14 @@ def assemble(conv: np.ndarray, known: np.ndarray, roles: pa.Array, texts: pa.Arr
     sizes = np.stack([s[2] for s in segments], axis=1)
     ends = np.cumsum(sizes.ravel()).reshape(n, 5)
     begins = ends - sizes
-    out = np.empty(int(ends[-1, -1]) if n else 0, dtype=np.uint8)
-    for k, (data, start, size) in enumerate(segments):
-        _scatter(out, begins[:, k], data, start, size)
     first = np.flatnonzero(np.r_[True, (conv[1:] != conv[:-1]) | (known[1:] != known[:-1])]) if n else zero
     last = np.r_[first[1:], n]
     starts = begins[first, 0]
+    for i in np.flatnonzero(ends[last - 1, -1] - starts > MAX_TEXT)[:1] if n else ():
+        raise _too_long(conv[first[i]], known[first[i]])
+    out = np.empty(int(ends[-1, -1]) if n else 0, dtype=np.uint8)
+    for k, (data, start, size) in enumerate(segments):
+        _scatter(out, begins[:, k], data, start, size)
     learned = np.array(roles.to_pylist(), dtype=object) == LEARNED
     which = np.flatnonzero(learned)
     of = np.searchsorted(first, which, side="right") - 1
@@ -94,11 +116,13 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The conversation still open at the end of a batch waits for the next."""
     held: list[pa.RecordBatch] = []
+    size = 0
 
     def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        if t.num_rows:
-            whole = t.to_batches()[0]
+        # with offsets of 64 bits the rows become one batch whatever their size
+        for whole in pa.Table.from_batches(rows).cast(_TURNS).combine_chunks().to_batches():
+            if whole.num_rows != sum(r.num_rows for r in rows):
+                raise ValueError("turns could not be put into one batch")
             yield assemble(*_ids(whole), whole.column(1), whole.column(2))
 
     for batch in batches:
@@ -109,12 +133,15 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, k = _ids(held[-1])
             if (a[-1], k[-1]) != (conv[0], known[0]):
                 yield from flush(held)
-                held = []
+                held, size = [], 0
         open_at = int(np.flatnonzero(np.r_[True, (conv[1:] != conv[:-1]) | (known[1:] != known[:-1])])[-1])
         if open_at:
             yield from flush([*held, batch.slice(0, open_at)])
-            held = []
+            held, size = [], 0
         held.append(batch.slice(open_at))
+        size += pc.sum(pc.binary_length(held[-1].column(2))).as_py() or 0
+        if size > MAX_TEXT:
+            raise _too_long(conv[-1], known[-1])
     if held:
         yield from flush(held)
 

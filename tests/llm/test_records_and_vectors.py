@@ -3,6 +3,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import ann, chat, covertree, warc
@@ -135,3 +136,34 @@ def test_chat_equals_row_by_row(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == plain(turns)
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def turn_batch(conv, texts):
+    return pa.RecordBatch.from_arrays([pa.array([conv] * len(texts), pa.int64()), pa.array(["user"] * len(texts)), pa.array(texts)], names=["conv_id", "role", "text"])
+
+
+@pytest.mark.parametrize("conv", [7, None])
+def test_chat_longer_than_a_string_value_fails_loudly(conv):
+    one = turn_batch(conv, ["a" * (1 << 28)])
+    with pytest.raises(ValueError, match=f"conversation {conv} "):
+        list(chat._format(iter([one] * 9)))
+
+
+def test_chat_measures_each_conversation(monkeypatch):
+    frame = [turn_batch(1, ["x" * 100] * 5), turn_batch(2, ["y" * 100] * 5)]
+    whole = chat.OPEN + "user\n" + "x" * 100 + chat.CLOSE + "\n"
+    monkeypatch.setattr(chat, "MAX_TEXT", 5 * len(whole))
+    got = [r for b in chat._format(iter(frame)) for r in b.to_pylist()]
+    assert [(r["conv_id"], r["n_turns"], len(r["text"])) for r in got] == [(1, 5, 5 * len(whole)), (2, 5, 5 * len(whole))]
+    monkeypatch.setattr(chat, "MAX_TEXT", 5 * len(whole) - 1)
+    with pytest.raises(ValueError, match="conversation 1 "):
+        list(chat._format(iter(frame)))
+
+
+@pytest.mark.parametrize("copy", [1, 10, 64, 1000])
+def test_chat_is_copied_in_blocks(monkeypatch, copy):
+    rng = random.Random(3)
+    frame = [turn_batch(c, ["é" * rng.randint(0, 30) for _ in range(6)]) for c in (1, 1, 2, 3, 3, 3)]
+    want = [b.to_pylist() for b in chat._format(iter(frame))]
+    monkeypatch.setattr(chat, "COPY", copy)
+    assert [b.to_pylist() for b in chat._format(iter(frame))] == want
