@@ -10,7 +10,7 @@ Files are read and written by the tasks through paths that all executors see.
 Defined cases: a null or empty payload is one empty chunk; a null url has no WARC-Target-URI; repeated rows give
 repeated records; a null ``page_id`` is carried along; a record cut off by the end of its file is reported with
 what came and ``is_last`` false on its last row; bytes between records other than line ends end the file's
-reading with an error; an empty table gives an empty table; extra columns are neither read nor returned.
+reading with an error, as does a header of over ``MAX_HEADER`` in a file (a page's url may be of any length); an empty table gives an empty table; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ def record_pieces(record_id: str, uri: str | None, payload: memoryview, piece: i
 class WarcReader:
     """Iterates over (fields, chunk_no, offset, payload, digest, is_last)."""
 
-    def __init__(self, stream, chunk: int = CHUNK, piece: int = PIECE):
-        self._stream, self._chunk, self._piece, self._held = stream, chunk, piece, bytearray()
+    def __init__(self, stream, chunk: int = CHUNK, piece: int = PIECE, max_header: int | None = MAX_HEADER):
+        self._stream, self._chunk, self._piece, self._held, self._max_header = stream, chunk, piece, bytearray(), max_header
 
     def _more(self) -> bool:
         data = self._stream.read(self._piece)
@@ -91,13 +91,15 @@ class WarcReader:
         return bool(data)
 
     def _header(self) -> dict[str, str] | None:
+        seen = 0
         while True:
-            drop = len(self._held) - len(self._held.lstrip(b"\r\n"))
-            del self._held[:drop]
-            end = self._held.find(b"\r\n\r\n")
+            if not seen:
+                del self._held[: len(self._held) - len(self._held.lstrip(b"\r\n"))]
+            end = self._held.find(b"\r\n\r\n", max(0, seen - 3))
             if end >= 0:
                 break
-            if len(self._held) > MAX_HEADER or not self._more():
+            seen = len(self._held)
+            if self._max_header is not None and seen > self._max_header or not self._more():
                 if self._held:
                     raise ValueError("not a WARC record header")
                 return None
@@ -164,7 +166,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from record_pieces(record_id(p, u), u, memoryview(body) if body is not None else memoryview(b""))
 
             at = -1
-            for fields, number, offset, payload, digest, last in WarcReader(Pull(stream())):
+            for fields, number, offset, payload, digest, last in WarcReader(Pull(stream()), max_header=None):
                 at += number == 0
                 yield pages[at], fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last
 

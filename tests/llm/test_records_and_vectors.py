@@ -97,6 +97,14 @@ def test_files_round_trip(spark, tmp_path, compress):
     assert key(back) == key(chunks)
 
 
+def test_long_urls_are_carried(spark):
+    url = "http://h/" + "u" * (3 * warc.MAX_HEADER)
+    frame = spark.createDataFrame([(1, url, "a", ""), (2, "v", "b", "")], PAGES).coalesce(1)
+    assert sorted((r.page_id, r.uri, bytes(r.payload)) for r in warc.page_records(frame).collect()) == [(1, url, b"a"), (2, "v", b"b")]
+    with pytest.raises(ValueError):
+        list(warc.WarcReader(warc.Pull(warc.record_pieces("urn:uuid:1", url, memoryview(b"a")))))
+
+
 def test_reader_holds_no_whole_record():
     body = b"z" * 5_000_000
     pieces = list(warc.record_pieces("urn:uuid:1", "u", memoryview(body)))
