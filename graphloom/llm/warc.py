@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +139,14 @@ def record_id(page_id: int | None, url: str | None) -> str:
     return uuid.UUID(bytes=hashlib.md5(name, usedforsecurity=False).digest()).urn
 
 
-CHUNKS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_id", T.StringType()), T.StructField("uri", T.StringType()), T.StructField("chunk_no", T.IntegerType()), T.StructField("byte_offset", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("sha1_so_far", T.StringType()), T.StructField("is_last", T.BooleanType())])
-_ARROW = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("chunk_no", pa.int32()), ("byte_offset", pa.int64()), ("payload", pa.binary()), ("sha1_so_far", pa.string()), ("is_last", pa.bool_())])
+CHUNKS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_id", T.StringType()), T.StructField("uri", T.StringType()), T.StructField("chunk_no", T.IntegerType()), T.StructField("byte_offset", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("sha1_so_far", T.StringType()), T.StructField("is_last", T.BooleanType()), T.StructField("row_no", T.LongType())])
+_ARROW = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("chunk_no", pa.int32()), ("byte_offset", pa.int64()), ("payload", pa.binary()), ("sha1_so_far", pa.string()), ("is_last", pa.bool_()), ("row_no", pa.int64())])
+
+
+def _row_numbers() -> Iterator[int]:
+    """Numbers for the records of a task, distinct over all tasks."""
+    context = TaskContext.get()
+    return itertools.count((context.partitionId() if context else 0) << 33)
 
 
 def _batches(rows: Iterable[tuple], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -157,6 +166,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages as one WARC stream, read back chunk by chunk."""
 
     def rows() -> Iterator[tuple]:
+        numbers, row_no = _row_numbers(), -1
         for batch in batches:
             pages, urls, html = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
 
@@ -167,33 +177,41 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             at = -1
             for fields, number, offset, payload, digest, last in WarcReader(Pull(stream()), max_header=None):
-                at += number == 0
-                yield pages[at], fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last
+                if number == 0:
+                    at, row_no = at + 1, next(numbers)
+                yield pages[at], fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last, row_no
 
     yield from _batches(rows())
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """The chunk table of the WARC records of ``pages``."""
+    """The chunk table of the WARC records of ``pages``; ``row_no`` tells repeated records apart."""
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_encode, CHUNKS)
 
 
 def write_warc(chunks: DataFrame, folder: str, compress: bool = True) -> list[str]:
     """WARC files of the records of a chunk table, one for each partition; returns the paths written.
 
-    Rows need page_id, record_id, uri, chunk_no, payload; a record's length is summed up first so that its header can go ahead
-    of its chunks.
+    Rows need record_id, uri, chunk_no, payload, and row_no where records share an id; chunks that don't make up whole records
+    raise an error. A record's length is summed up first so that its header can go ahead of its chunks.
     """
-    sized = chunks.join(chunks.groupBy("record_id").agg(F.sum(F.octet_length("payload")).alias("size")), "record_id")
+    numbered = chunks if "row_no" in chunks.columns else chunks.withColumn("row_no", F.lit(0).cast("long"))
+    record = ["record_id", "row_no"]
+    # a window, not a join: row_no depends on the partitions, so the rows are read once
+    sized = numbered.select(*record, "uri", "chunk_no", "payload").repartition(*record).withColumn("size", F.sum(F.octet_length("payload")).over(W.partitionBy(*record)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
         path = os.path.join(folder, f"part-{uuid.uuid4().hex}.warc{'.gz' if compress else ''}")
-        out = raw = None
+        out = raw = before = None
         for batch in batches:
             for r in batch.to_pylist():
                 if raw is None:
                     raw = open(path + ".tmp", "wb")
+                now = (r["record_id"], r["row_no"], r["chunk_no"])
+                if now != (*before[:2], before[2] + 1) if before and before[:2] == now[:2] else now[2] != 0:
+                    raise ValueError(f"chunks of {r['record_id']} are missing or repeated without a row_no")
+                before = now
                 if r["chunk_no"] == 0:
                     if out is not None:
                         out.write(b"\r\n\r\n")
@@ -210,7 +228,7 @@ def write_warc(chunks: DataFrame, folder: str, compress: bool = True) -> list[st
             os.replace(path + ".tmp", path)
             yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    ordered = sized.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").select("record_id", "uri", "chunk_no", "payload", "size")
+    ordered = sized.sortWithinPartitions(*record, "chunk_no")
     return sorted(r[0] for r in ordered.mapInArrow(write, "path string").collect())
 
 
@@ -219,12 +237,14 @@ def read_warc(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> Data
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
+            numbers, row_no = _row_numbers(), -1
             for batch in batches:
                 for path in batch.column(0).to_pylist():
                     with open(path, "rb") as raw:
                         stream = Pull(inflate(raw)) if path.endswith(".gz") else raw
                         for fields, number, offset, payload, digest, last in WarcReader(stream, chunk):
-                            yield None, fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last
+                            row_no = next(numbers) if number == 0 else row_no
+                            yield None, fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last, row_no
 
         yield from _batches(rows())
 
@@ -234,7 +254,7 @@ def read_warc(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> Data
 
 def page_record_text(pages: DataFrame) -> DataFrame:
     """``page_records`` with the payload in base64, for sinks without binary columns."""
-    return page_records(pages).withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))
+    return page_records(pages).drop("row_no").withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))
 
 
 ORACLE = f"""

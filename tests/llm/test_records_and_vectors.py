@@ -97,6 +97,20 @@ def test_files_round_trip(spark, tmp_path, compress):
     assert key(back) == key(chunks)
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_repeated_records_round_trip(spark, tmp_path, compress):
+    rows = [(1, "u", "ab" * 30_000, ""), (1, "u", "ab" * 30_000, ""), (1, "u", "cd" * 20_000, ""), (2, None, "x", ""), (2, None, "x", "")]
+    chunks = warc.page_records(spark.createDataFrame(rows, PAGES).repartition(3))
+    paths = warc.write_warc(chunks, str(tmp_path / "a"), compress)
+    back = warc.read_warc(spark, paths)
+    cols = ["record_id", "uri", "chunk_no", "byte_offset", "payload", "sha1_so_far", "is_last"]
+    key = lambda df: sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in df.select(*cols).collect()), key=repr)
+    assert key(back) == key(chunks) and back.where("is_last").count() == 5
+    assert key(warc.read_warc(spark, warc.write_warc(back, str(tmp_path / "b"), compress))) == key(chunks)
+    with pytest.raises(Exception, match="repeated without a row_no"):
+        warc.write_warc(chunks.drop("row_no"), str(tmp_path / "c"), compress)
+
+
 def test_long_urls_are_carried(spark):
     url = "http://h/" + "u" * (3 * warc.MAX_HEADER)
     frame = spark.createDataFrame([(1, url, "a", ""), (2, "v", "b", "")], PAGES).coalesce(1)
