@@ -7,7 +7,8 @@ normalised Gaussian kernel and lines are split into two clusters at a threshold,
 with text in the upper cluster are the content, in order, joined by newlines.
 
 Defined cases: null and empty pages have an empty text and no lines; a page without tags is one cluster and
-kept whole; malformed markup is read as the parser recovers it; character references are resolved; rows do not
+kept whole; malformed markup is read as the parser recovers it; a head without
+an end ends at the first tag or text that can't be in it; character references are resolved; rows do not
 depend on each other, so repeated rows repeat their result; a null ``page_id`` is carried along; an empty table
 gives an empty table; extra columns are neither read nor returned.
 """
@@ -31,6 +32,8 @@ BLOCK = frozenset(
     "textarea tfoot th thead title tr ul".split()
 )
 HIDDEN = frozenset("head script style noscript template svg iframe object select".split())
+#: What may be in a head; anything else ends it, as in browsers.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -51,16 +54,24 @@ class LineBuilder(HTMLParser):
             self.tags.append(self._count)
             self._parts, self._count = [], 0
 
+    def _end_head(self) -> None:
+        if self._hidden and self._hidden[-1] == "head":
+            self._hidden.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "body":
             self._hidden.clear()
+        elif tag not in _IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             self._break()
         self._count += 1
-        if tag in HIDDEN and tag not in _VOID:
+        if tag in HIDDEN and tag not in _VOID or tag == "title" and self._hidden and self._hidden[-1] == "head":
             self._hidden.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag not in _IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             self._break()
         self._count += 1
@@ -74,6 +85,8 @@ class LineBuilder(HTMLParser):
             self._break()
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if self._hidden:
             return
         if "\n" not in data:

@@ -304,6 +304,15 @@ def test_main_content_is_kept():
     assert "&" in html_extract.extract("<p>a &amp; b</p>")[0]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>T</title><p>Text", "Text"), ("<head><title>a <b> c</title><meta x><script>no</script><img/>Text", "Text"), ("<head><title>T</title>Text", "Text"),
+    ("<head><title>T</title><style>p {}</style></head><p>Text", "Text"), ("<head><noscript><img>no</noscript><link x></head><body>Text", "Text"), ("<head><title>T</title>", ""),
+])
+def test_head_ends_without_its_end_tag(page, text):
+    assert html_extract.extract(page)[0] == text
+    assert html_extract.parse_lines(page, 3) == html_extract.parse_lines(page)
+
+
 def test_pieces_of_the_stream_do_not_matter():
     page = "<div><p>" + prose(3, 400) + "</p><b>x</b>&lt;" + "</div>" * 3
     assert html_extract.parse_lines(page, 7) == html_extract.parse_lines(page, 1 << 20)
