@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import ann, chat, covertree, warc
 
@@ -24,45 +25,114 @@ def sphere(n, dim, seed):
     return (a / np.linalg.norm(a, axis=1, keepdims=True)).astype(np.float32)
 
 
-def test_neighbours_recall_against_brute_force(spark):
+def distances(a):
+    x = np.asarray(a, dtype=np.float32).astype(float)
+    return np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2))
+
+
+@pytest.mark.parametrize("block, asking", [(150, 7), (10_000, 10_000)])
+def test_neighbours_recall_against_brute_force(spark, block, asking):
     a = sphere(500, 32, 1)
     a[250:] = a[:250] + 0.05 * sphere(250, 32, 2)
-    found = ann.nearest_neighbours(vectors(spark, a, more=AWKWARD), k=5, block=150).toPandas()
-    x = a.astype(float)
-    gap = np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2))
+    found = ann.nearest_neighbours(vectors(spark, a, more=AWKWARD), 5, 4, block, asking).toPandas()
+    gap = distances(a)
     np.fill_diagonal(gap, np.inf)
     true = np.argsort(gap, axis=1)[:, :5]
     hits = sum(len(set(g["neighbour_id"]) & set(true[i])) for i, g in found.groupby("vec_id"))
-    assert found["vec_id"].nunique() == 500 and hits >= 0.9 * 2500
-    r = found.iloc[7]
-    assert abs(gap[int(r.vec_id), int(r.neighbour_id)] - r.distance) < 1e-6
+    assert set(found["vec_id"]) == set(range(0, 500, 4)) and hits >= 0.95 * 625
+    assert found.groupby("vec_id")["position"].apply(list).map(lambda x: sorted(x) == [1, 2, 3, 4, 5]).all()
+    for r in found.itertuples():
+        assert abs(gap[r.vec_id, r.neighbour_id] - r.distance) < 1e-6
+
+
+def test_neighbours_recall_on_the_test_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = table.orderBy("vec_id").collect()
+    gap = distances([r.embedding for r in rows])
+    np.fill_diagonal(gap, np.inf)
+    found = ann.nearest_neighbours(table, every=1, block=128).toPandas()
+    true = np.argsort(gap, axis=1)[:, : ann.NEIGHBOURS]
+    assert sum(len(set(g["neighbour_id"]) & set(true[i])) for i, g in found.groupby("vec_id")) >= 0.9 * len(rows) * ann.NEIGHBOURS
 
 
 def test_neighbours_of_few_equal_and_mixed_rows(spark):
     rows = vectors(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]], ids=[1, 1, 2], more=[(3, [1.0, 0.0, 0.0], 0), (1, [0.5, 0.5], 0)])
-    got = {(r.vec_id, r.neighbour_id) for r in ann.nearest_neighbours(rows).collect()}
+    got = {(r.vec_id, r.neighbour_id) for r in ann.nearest_neighbours(rows.withColumn("cell", F.lit(0)).withColumn("asks", F.lit("x")), every=1).collect()}
     assert got == {(1, 2), (2, 1)}
     assert ann.nearest_neighbours(rows.limit(0)).count() == 0
-    same = vectors(spark, [[1.0, 0.0]] * 30)
-    assert ann.nearest_neighbours(same, k=3).count() == 90
+    assert ann.nearest_neighbours(vectors(spark, [[1.0, 0.0]] * 30), 3, 1).count() == 90
+    assert ann.nearest_neighbours(vectors(spark, [[1.0, 0.0]] * 45), 3).count() == 9
+
+
+def brute_classes(ids, a, epsilon):
+    """(id, least id of the component, links) of each row."""
+    near = distances(a) <= epsilon
+    root = list(range(len(a)))
+    changed = True
+    while changed:
+        new = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(a))]
+        changed, root = new != root, new
+    return sorted((ids[i], min(ids[j] for j in range(len(a)) if root[j] == root[i]), int(near[i].sum()) - 1) for i in range(len(a)))
+
+
+def classes(frame, *args):
+    return sorted(tuple(r) for r in covertree.near_classes(frame, *args).select("vec_id", "class_id", "n_links").collect())
 
 
 @pytest.mark.parametrize("block", [64, 10_000])
-def test_pairs_within_a_distance_are_exact(spark, block):
+@pytest.mark.parametrize("epsilon", [0.25, 0.5, 1.0])
+def test_classes_and_links_are_exact(spark, block, epsilon):
     a = sphere(400, 16, 3)
     a[300:] = a[:100] + 0.06 * sphere(100, 16, 4)
-    a[390] = a[0]
-    got = {(r.vec_a, r.vec_b) for r in covertree.near_pairs(vectors(spark, a, more=AWKWARD), 0.5, block).collect()}
-    x = a.astype(float)
+    a[200:260] = a[0] + 0.1 * sphere(60, 16, 5) * np.random.default_rng(6).random((60, 1)).astype(np.float32)  # a group whose width is about a threshold
+    a[260:290] = a[1] + 0.01 * sphere(30, 16, 7)
+    a[290:298] = a[1] + epsilon * 0.99 * sphere(8, 16, 8)  # rows that only some members of the group reach
+    a[298] = a[5]
+    got = classes(vectors(spark, a, more=AWKWARD).withColumn("v", F.lit(1)).withColumn("key", F.lit("x")), epsilon, block)
+    assert got == brute_classes(list(range(400)), a, epsilon)
+
+
+def test_groups_that_lie_side_by_side(spark):
+    rng = np.random.default_rng(11)
+    a = np.concatenate([rng.normal(0, 0.02, (60, 8)) + [c * 0.22, *[0] * 7] for c in range(4)] + [rng.random((100, 8))]).astype(np.float32)
+    for block in (40, 10_000):
+        assert classes(vectors(spark, a), 0.3, block) == brute_classes(list(range(len(a))), a, 0.3)
+
+
+def test_classes_of_equal_and_mixed_rows(spark):
+    rows = vectors(spark, [[1.0, 0.0], [1.0, 0.0], [1.0, 0.0]], ids=[1, 1, 2], more=[(3, [1.0, 0.0, 0.0], 0), (1, [1.0, 0.1], 0)])
+    assert classes(rows) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
+    assert classes(rows.limit(0)) == []
+    assert classes(vectors(spark, [[0.5, 0.5]] * 60), 0.3, 16) == [(i, 0, 59) for i in range(60)]
+    far = [[1e6, i * 0.2, 0.0] for i in range(20)]
+    assert classes(vectors(spark, far), 0.3, 8) == brute_classes(list(range(20)), far, 0.3)
+
+
+def test_tree_counts_equal_brute_force():
+    rng = np.random.default_rng(1)
+    x = sphere(300, 16, 1).astype(float)
+    x[200:] = x[:100] + 0.05 * rng.standard_normal((100, 16))
+    x[150:180] = x[0] + 0.02 * rng.standard_normal((30, 16))
     gap = np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2))
-    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(gap <= 0.5)) if i < j}
+    for epsilon in (0.1, 0.5, 1.2, 3.0):
+        near = (gap <= epsilon) & ~np.eye(300, dtype=bool)
+        assert (covertree.count_links(x, None, epsilon).count == near.sum(axis=1)).all()
+        two = covertree.count_links(x[:170], x[170:], epsilon)
+        assert (two.count == np.r_[near[:170, 170:].sum(axis=1), near[:170, 170:].sum(axis=0)]).all()
+
 
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
+    from graphloom.llm import common
 
-def test_pairs_of_equal_and_mixed_rows(spark):
-    rows = vectors(spark, [[1.0, 0.0], [1.0, 0.0], [1.0, 0.0]], ids=[1, 1, 2], more=[(3, [1.0, 0.0, 0.0], 0)])
-    assert [(r.vec_a, r.vec_b, r.distance) for r in covertree.near_pairs(rows).collect()] == [(1, 2, 0.0)]
-    assert covertree.near_pairs(rows.limit(0)).count() == 0
-    assert covertree.near_pairs(vectors(spark, [[0.5, 0.5]] * 60), block=16).count() == 60 * 59 // 2
+    rng = random.Random(3)
+    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 160)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    one = sorted(tuple(r) for r in common.components(frame).collect())
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    assert sorted(tuple(r) for r in common.components(frame).collect()) == one
+    assert dict(one)[160] == 100 and len(dict(one)) == len(one)
+    monkeypatch.undo()
+    assert common.components(frame.limit(0)).count() == 0
 
 
 PAGES = "page_id long, url string, html string, payload string"
