@@ -7,7 +7,8 @@ normalised Gaussian kernel and lines are split into two clusters at a threshold,
 with text in the upper cluster are the content, in order, joined by newlines.
 
 Defined cases: null and empty pages have an empty text and no lines; a page without tags is one cluster and
-kept whole; malformed markup is read as the parser recovers it; a head without
+kept whole; malformed markup is read as the parser recovers it, a comment, script or style without an end takes the rest
+of the page, and a tag without one is text like what follows it (found in one pass, so long broken pages cost their length); a head without
 an end ends at the first tag or text that can't be in it; character references are resolved; rows do not
 depend on each other, so repeated rows repeat their result; a null ``page_id`` is carried along; an empty table
 gives an empty table; extra columns are neither read nor returned.
@@ -15,7 +16,9 @@ gives an empty table; extra columns are neither read nor returned.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,6 +37,7 @@ BLOCK = frozenset(
 HIDDEN = frozenset("head script style noscript template svg iframe object select".split())
 #: What may be in a head; anything else ends it, as in browsers.
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_TAG = re.compile(r"<[^<>]*>")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -87,7 +91,7 @@ class LineBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if data.strip():
             self._end_head()
-        if self._hidden:
+        if self._hidden or not data:
             return
         if "\n" not in data:
             self._parts.append(data)
@@ -99,6 +103,15 @@ class LineBuilder(HTMLParser):
             if line:
                 self._parts.append(line)
 
+    def take_rest(self, rest: str) -> None:
+        """The end of a page in which no tag or comment can close any more, in one pass."""
+        at = 0
+        for m in _TAG.finditer(rest):
+            self.handle_data(unescape(rest[at : m.start()]))
+            self._count += 1
+            at = m.end()
+        self.handle_data(unescape(rest[at:]))
+
     def lines(self) -> tuple[list[str], list[int]]:
         self.close()
         self._break()
@@ -106,9 +119,16 @@ class LineBuilder(HTMLParser):
 
 
 def parse_lines(html: str, piece: int = PIECE) -> tuple[list[str], list[int]]:
+    """Lines of a page; its parser is fed pieces that end with a tag, the longer the more of them it still holds."""
     parser = LineBuilder()
-    for at in range(0, len(html), piece):
-        parser.feed(html[at : at + piece])
+    closed, at = html.rfind(">") + 1, 0
+    while at < closed:
+        end = html.find(">", min(at + max(piece, len(parser.rawdata)), closed) - 1) + 1
+        parser.feed(html[at:end])
+        at = end
+    rest, parser.rawdata = parser.rawdata + html[closed:], ""
+    if parser.cdata_elem is None and not rest.startswith(("<!", "<?")):
+        parser.take_rest(rest)
     return parser.lines()
 
 

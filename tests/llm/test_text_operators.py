@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -318,6 +319,35 @@ def test_pieces_of_the_stream_do_not_matter():
     assert html_extract.parse_lines(page, 7) == html_extract.parse_lines(page, 1 << 20)
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<!-- ", "</a ", '<a b="x ', "<? ", "<a b=c ", "<a/", "<![CDATA[", "&a", "<", "<script>", "<div>", "<a b='x\""])
+@pytest.mark.parametrize("head, tail", [("", ""), ("", ">"), ("<!-- > ", ""), ('<a b=" > ', ""), ("<title>>", '">')])
+def test_long_broken_markup_costs_its_length(unit, head, tail):
+    began = time.process_time()
+    html_extract.extract(head + unit * (1_000_000 // len(unit)) + tail)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>one</p> two < three", "one\ntwo < three"), ("<p>one</p>two <b three", "one\ntwo <b three"), ("<p>one</p><!-- two", "one"), ("<p>one</p><script>two", "one"), ("AT&T>x &amp; y", "AT&T>x & y"),
+])
+def test_ends_of_broken_pages(page, text):
+    assert html_extract.extract(page)[0] == text
+    assert html_extract.parse_lines(page, 2) == html_extract.parse_lines(page)
+
+
+def whole_page(page):
+    """Lines of a page by one feed of the parser's own."""
+    parser = html_extract.LineBuilder()
+    parser.feed(page)
+    return parser.lines()
+
+
+def test_lines_of_pages_equal_one_feed(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        want = whole_page(r.html)
+        assert html_extract.parse_lines(r.html) == want and html_extract.parse_lines(r.html, 100) == want
+
+
 def test_smoothing_equals_brute_force():
     rng, k = random.Random(8), html_extract.kernel()
     texts, tags = ["x" * rng.randint(0, 200) for _ in range(50)], [rng.randint(0, 6) for _ in range(50)]
