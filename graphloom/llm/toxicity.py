@@ -99,8 +99,16 @@ def matches(folded: str, auto) -> list[tuple[int, int, int, str]]:
         if stop < last and ((c := folded[stop]).isalnum() or c == "_"):
             continue
         (found if weight else covered).append((start, stop, weight, term))
-    if covered:
-        found = [m for m in found if not any(s <= m[0] and m[1] <= e for s, e, _, _ in covered)]
+    if covered and found:
+        covered.sort()
+        kept, at, reach = [], 0, -1
+        for m in sorted(found):  # reach: the furthest end of the phrases that start before the term or with it
+            while at < len(covered) and covered[at][0] <= m[0]:
+                reach = max(reach, covered[at][1])
+                at += 1
+            if m[1] > reach:
+                kept.append(m)
+        found = kept
     return found
 
 
@@ -161,8 +169,7 @@ def toxic_documents(docs: DataFrame, fitted: tuple[str, ...] = (), threshold: fl
 
 def drop_toxic(docs: DataFrame, fitted: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score stays under ``threshold``, with their columns as they were; no shuffle."""
-    names = docs.columns
-    return docs.withColumn("_llm_tox", toxicity_udf(fitted)("text")).filter(F.col("_llm_tox.score") < threshold).select(*[F.col(f"`{c}`") for c in names])
+    return docs.select(F.struct("*").alias("row"), toxicity_udf(fitted)("text").alias("tox")).filter(F.col("tox.score") < threshold).select("row.*")
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
