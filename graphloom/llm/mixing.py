@@ -34,6 +34,8 @@ PHI32, UNIT = 2654435769, 1 << 32
 #: Slots beyond the expected number that a source may need: twice the sequence's discrepancy up to 2**32 points.
 SLACK = 24
 _CELL_BITS, _SLOT_BUCKET = 20, 1 << 16
+#: Hexadecimal digits of the shuffled order that make a bucket: 65,536 in each source.
+_BUCKET_DIGITS = 4
 
 
 def _shuffle_key(seed: str) -> Column:
@@ -43,8 +45,8 @@ def _shuffle_key(seed: str) -> Column:
 def _keyed(docs: DataFrame, seed: str) -> DataFrame:
     key = _shuffle_key(seed)
     return docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce("source", F.lit("")).alias("_mix_src"), word_count("text").alias("_mix_tokens"), key.alias("_mix_key"),
-        F.substring(key, 1, 3).alias("_mix_bucket"),
+        F.struct("*").alias("_mix_row"), F.coalesce("source", F.lit("")).alias("_mix_src"), word_count("text").alias("_mix_tokens"), key.alias("_mix_key"),
+        F.substring(key, 1, _BUCKET_DIGITS).alias("_mix_bucket"),
     )
 
 
@@ -100,7 +102,7 @@ def _positions(keyed: DataFrame, offsets: DataFrame, block_tokens: int) -> DataF
 
 def mixed_schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
     """slot, epoch, source, block, doc_id, tokens: every document at every slot that uses its block."""
-    lean = cut(_keyed(docs.select("doc_id", "text", "source"), seed).select("doc_id", "_mix_src", "_mix_tokens", "_mix_key", "_mix_bucket"))
+    lean = cut(_keyed(docs.select("doc_id", "text", "source"), seed).select(F.col("_mix_row.doc_id").alias("doc_id"), "_mix_src", "_mix_tokens", "_mix_key", "_mix_bucket"))
     offsets = cut(_offsets(lean))
     slots = schedule(cut(_sources(offsets, weights, alpha, block_tokens)))
     slots = slots.select("slot", F.col("src").alias("_mix_src"), F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("_mix_block"))
@@ -116,13 +118,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     used = slots.groupBy(F.col("src").alias("_mix_src")).agg(F.count("*").alias("_mix_slots"), F.max("blocks").alias("_mix_blocks"))
     offsets = cut(offsets.join(used, "_mix_src"))
     times = F.expr("_mix_slots div _mix_blocks + if(_mix_block < _mix_slots % _mix_blocks, 1, 0)")
-    names = [F.col(f"`{c}`") for c in docs.columns]
     return (
         _positions(keyed, offsets, block_tokens)
-        .select(*names, times.cast("int").alias("_mix_times"))
-        .filter("_mix_times > 0")
-        .select(*names, F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_copy"))
-        .select(*names)
+        .select("_mix_row", times.cast("int").alias("times"))
+        .filter("times > 0")
+        .select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+        .select("_mix_row.*")
     )
 
 
