@@ -6,7 +6,8 @@ available, kept as one bitset, finds the fullest combination that holds it, and
 long as the pieces last, the same combination stays the fullest, so it is taken at once as often as they allow.
 
 Documents are dealt by hash to shards of about ``shard_rows`` rows, each packed by one task from lengths alone;
-a shard wastes at most what its last bins leave open. Packing needs no text after the words are counted.
+a shard wastes at most what its last bins leave open, so the bins of a document depend on the table's size (in rows with
+words), the share of them left open hardly does. Packing needs no text after the words are counted.
 
 Defined cases: null, empty and blank texts have no piece and no row; equal lengths are taken in order of doc_id
 (nulls first), then of the text's hash; repeated rows are packed one by one; a null ``doc_id`` is carried along;
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import word_count
+from graphloom.llm.common import cut, word_count
 
 #: Words in a bin.
 CAPACITY = 2048
@@ -106,7 +107,6 @@ def _pack_shard(capacity: int):
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, piece, start (word of the text), length, bin_id, bin_offset of every piece."""
-    shards = max(1, -(-docs.count() // shard_rows))
-    th = F.xxhash64("doc_id", "text")
-    lean = docs.select("doc_id", th.alias("th"), word_count("text").alias("n")).filter("n > 0").withColumn("shard", F.pmod("th", F.lit(shards)).cast("int"))
-    return lean.groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)
+    lean = cut(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("th"), word_count("text").alias("n")).filter("n > 0"))
+    shards = max(1, -(-lean.count() // shard_rows))
+    return lean.withColumn("shard", F.pmod("th", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)
