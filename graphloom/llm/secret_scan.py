@@ -41,7 +41,7 @@ STRONG_LENGTH = 20
 MASK = "[REDACTED]"
 
 _VALUE = re.compile(r"[:=][ \t]*[\"'`]?([A-Za-z0-9_\-+/=.@~!#%^&*]+)")
-_LABEL = re.compile(r"([A-Za-z][A-Za-z0-9_\-]{0,63})[\"'`]?[ \t]*$")
+_LABEL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _SECRET_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:secret|token|passw(?:or)?d|passwd|pwd|passphrase|api[_\-]?key|apikey|private[_\-]?key|secret[_\-]?key|auth|credential|bearer)s?(?:$|[_\-])")
 _ID_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:client[_\-]?id|access[_\-]?key(?:[_\-]?id)?|key[_\-]?id|user(?:[_\-]?name)?|login|account(?:[_\-]?id)?|tenant(?:[_\-]?id)?)$")
@@ -49,7 +49,8 @@ _HOST_LABEL = re.compile(r"(?i)(?:^|[_\-])(?:host(?:name)?|endpoint|server|url|u
 _PROVIDER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|gho_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,})")
 _PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
 _KEY_ID = re.compile(r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}\b")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,40}[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}(?![A-Za-z0-9+/_\-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{32,}={0,2}(?![A-Za-z0-9+/_\-])")
+_DIGIT = re.compile("[0-9]")
 _LONG = re.compile(r"[A-Za-z0-9+/_\-]{32,}")
 _MAIL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+")
 _URL = re.compile(r"\b[a-z][a-z0-9+.\-]{1,15}://[^\s\"'<>]+")
@@ -69,6 +70,18 @@ def _is_label(kind: re.Pattern, name: str) -> bool:
     return bool(kind.search(name) or kind.search(_HUMP.sub("_", name)))
 
 
+def _label_before(text: str, end: int) -> str:
+    """The word before ``end``, whatever its length; blanks and a quote may lie between. Words of values don't overlap."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'`":
+        end -= 1
+    at = end
+    while at and text[at - 1] in _LABEL_CHARS:
+        at -= 1
+    return text[at:end].lstrip("0123456789_-")
+
+
 def _url_parts(text: str) -> tuple[list[Part], list[tuple[int, int]]]:
     """The parts of every URL, and the spans in which no other labelled value or mail address starts."""
     out: list[Part] = []
@@ -124,10 +137,10 @@ def find_parts(text: str) -> list[Part]:
 
     if "=" in text or ":" in text:
         for m in _VALUE.finditer(text):
-            label = _LABEL.search(text, max(0, m.start() - 70), m.start())
-            if not label or not free(m.start(1)):
+            name = _label_before(text, m.start())
+            if not name or not free(m.start(1)):
                 continue
-            name, value, a = label.group(1), m.group(1).rstrip(".,"), m.start(1)
+            value, a = m.group(1).rstrip(".,"), m.start(1)
             b = a + len(value)
             if not value.strip("="):
                 continue
@@ -146,7 +159,7 @@ def find_parts(text: str) -> list[Part]:
     out += [(*m.span(), "endpoint", "ipv4", False) for m in _IP.finditer(text)]
     if _LONG.search(text):
         out += [(*m.span(), "access_id", "key_id", False) for m in _KEY_ID.finditer(text)]
-        out += [(*m.span(), "secret", "bare", False) for m in _BARE.finditer(text) if entropy(m.group()) >= MIN_ENTROPY]
+        out += [(*m.span(), "secret", "bare", False) for m in _BARE.finditer(text) if _DIGIT.search(text, *m.span()) and entropy(m.group()) >= MIN_ENTROPY]
     elif "A" in text:
         out += [(*m.span(), "access_id", "key_id", False) for m in _KEY_ID.finditer(text)]
     kept, last = [], {}
@@ -157,49 +170,37 @@ def find_parts(text: str) -> list[Part]:
     return kept
 
 
-def link(text: str, parts: list[Part], window: int = WINDOW, by_line: bool = True) -> list[tuple]:
+def link(parts: list[Part], window: int = WINDOW) -> list[tuple]:
     """(start, end, kind, rule, confidence, link_start, link_end) of what is reported, in order."""
-    if not parts:
+    secrets = [p for p in parts if p[2] == "secret"]
+    others = [p for p in parts if p[2] != "secret"]
+    if not secrets:
         return []
-    breaks = [i for i, c in enumerate(text) if c == "\n"] if by_line and "\n" in text else []
-    by_scope: dict[int, list[Part]] = {}
-    for p in parts:
-        by_scope.setdefault(bisect.bisect_left(breaks, p[0]), []).append(p)
+    kinds = []  # spans of one kind don't overlap, so their ends are sorted as their starts are
+    for kind in ("access_id", "endpoint"):
+        at = [i for i, p in enumerate(others) if p[2] == kind]
+        kinds.append((at, [others[i][0] for i in at], [others[i][1] for i in at]))
     found: list[tuple] = []
-    for scope in by_scope.values():
-        secrets = [p for p in scope if p[2] == "secret"]
-        others = [p for p in scope if p[2] != "secret"]
-        if not secrets:
-            continue
-        kinds = []  # spans of one kind don't overlap, so their ends are sorted as their starts are
-        for kind in ("access_id", "endpoint"):
-            at = [i for i, p in enumerate(others) if p[2] == kind]
-            kinds.append((at, [others[i][0] for i in at], [others[i][1] for i in at]))
-        touched: dict[int, Part] = {}
-        for s in secrets:
-            near = sorted(
-                i for at, starts, ends in kinds for i in at[bisect.bisect_left(ends, s[0] - window) : bisect.bisect_right(starts, s[1] + window)]
-                if not (others[i][0] < s[1] and s[0] < others[i][1])
-            )
-            if near:
-                best = min(near, key=lambda i: (max(others[i][0] - s[1], s[0] - others[i][1]), i))
-                found.append((*s[:4], "strong" if s[4] else "linked", *others[best][:2]))
-                for i in near:
-                    touched.setdefault(i, s)
-            elif s[4]:
-                found.append((*s[:4], "strong", None, None))
-        found += [(*others[i][:4], "linked", *s[:2]) for i, s in touched.items()]
+    touched: dict[int, Part] = {}
+    for s in secrets:
+        near = sorted(
+            i for at, starts, ends in kinds for i in at[bisect.bisect_left(ends, s[0] - window) : bisect.bisect_right(starts, s[1] + window)]
+            if not (others[i][0] < s[1] and s[0] < others[i][1])
+        )
+        if near:
+            best = min(near, key=lambda i: (max(others[i][0] - s[1], s[0] - others[i][1]), i))
+            found.append((*s[:4], "strong" if s[4] else "linked", *others[best][:2]))
+            for i in near:
+                touched.setdefault(i, s)
+        elif s[4]:
+            found.append((*s[:4], "strong", None, None))
+    found += [(*others[i][:4], "linked", *s[:2]) for i, s in touched.items()]
     return sorted(found, key=lambda f: (f[0], f[1], f[2]))
 
 
-def scan_text(text: str | None, window: int = WINDOW, by_line: bool = True) -> list[tuple]:
-    """What is reported where parts are linked inside a line only, or with ``by_line`` false anywhere in the text."""
-    return link(text, find_parts(text), window, by_line) if text else []
-
-
-def scan_document(text: str | None) -> list[tuple]:
-    """What the query and the pipeline report."""
-    return scan_text(text, by_line=False)
+def scan_document(text: str | None, window: int = WINDOW) -> list[tuple]:
+    """What is reported of a text."""
+    return link(find_parts(text), window) if text else []
 
 
 _NUMBERS = {"span_start", "span_end", "link_start", "link_end"}
