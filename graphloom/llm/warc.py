@@ -5,12 +5,14 @@ A record's payload never is one value in memory: it becomes rows of record id an
 at each chunk, so the last row's digest is the record's). The reader pulls fixed pieces from any byte stream,
 plain or gzip with a member for each record, and the writer takes chunk rows in order and puts out pieces.
 
-Files are read and written by the tasks through paths that all executors see.
+Files are read and written by the tasks through paths or URIs that all executors see.
 
 Defined cases: a null or empty payload is one empty chunk; a null url has no WARC-Target-URI; repeated rows give
 repeated records; a null ``page_id`` is carried along; a record cut off by the end of its file is reported with
-what came and ``is_last`` false on its last row; bytes between records other than line ends end the file's
-reading with an error, as does a header of over ``MAX_HEADER`` in a file (a page's url may be of any length); an empty table gives an empty table; extra columns are neither read nor returned.
+what came and ``is_last`` false on its last row; bytes of a file that are no record (junk between records, a header of
+over ``MAX_HEADER``, one cut off, or one without a length) become chunk rows without record id whose ``error`` says why, and reading goes
+on at the next line that starts a record; a header that isn't UTF-8 is read as Latin-1; a page's url may be of any length; an
+empty table gives an empty table; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import itertools
-import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -83,7 +85,7 @@ def record_pieces(record_id: str, uri: str | None, payload: memoryview, piece: i
 
 
 class WarcReader:
-    """Iterates over (fields, chunk_no, offset, payload, digest, is_last)."""
+    """Iterates over (fields, chunk_no, offset, payload, digest, is_last); bytes that are no record have the field ``error`` only."""
 
     def __init__(self, stream, chunk: int = CHUNK, piece: int = PIECE, max_header: int | None = MAX_HEADER):
         self._stream, self._chunk, self._piece, self._held, self._max_header = stream, chunk, piece, bytearray(), max_header
@@ -93,6 +95,20 @@ class WarcReader:
         self._held += data
         return bool(data)
 
+    def _skipped(self, error: str) -> Iterator[tuple[dict[str, str], int, int, bytes, str, bool]]:
+        """What comes before the next line that starts a record."""
+        at, number, digest, ended = 0, 0, hashlib.sha1(usedforsecurity=False), False
+        while not ended:
+            while len(self._held) < self._chunk + 6 and self._more():
+                pass
+            end = self._held.find(b"\nWARC/", 0, self._chunk + 5) + 1
+            payload = bytes(self._held[: end or self._chunk])
+            del self._held[: len(payload)]
+            digest.update(payload)
+            ended = end > 0 or not self._held
+            yield {"error": error}, number, at, payload, digest.copy().hexdigest(), ended
+            at, number = at + len(payload), number + 1
+
     def _header(self) -> dict[str, str] | None:
         seen = 0
         while True:
@@ -102,22 +118,35 @@ class WarcReader:
             if end >= 0:
                 break
             seen = len(self._held)
-            if self._max_header is not None and seen > self._max_header or not self._more():
-                if self._held:
-                    raise ValueError("not a WARC record header")
-                return None
-        lines = bytes(self._held[:end]).decode("utf-8", "surrogatepass").split("\r\n")
-        del self._held[: end + 4]
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record header")
+            if seen >= 5 and not self._held.startswith(b"WARC/"):
+                return {"error": "no record header"}
+            if self._max_header is not None and seen > self._max_header:
+                return {"error": "header too long"}
+            if not self._more():
+                return {"error": "header cut off"} if self._held else None
+        if not self._held.startswith(b"WARC/"):
+            return {"error": "no record header"}
+        raw = bytes(self._held[:end])
+        try:
+            lines = raw.decode("utf-8").split("\r\n")
+        except UnicodeDecodeError:
+            lines = raw.decode("latin-1").split("\r\n")
         fields: dict[str, str] = {}
         for line in lines[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            return {"error": "no content length"}
+        fields.pop("error", None)
+        del self._held[: end + 4]
         return fields
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], int, int, bytes, str, bool]]:
         while (fields := self._header()) is not None:
+            if "error" in fields:
+                yield from self._skipped(fields["error"])
+                continue
             length, at, number, digest = int(fields["content-length"]), 0, 0, hashlib.sha1(usedforsecurity=False)
             while True:
                 want = min(self._chunk, length - at)
@@ -149,17 +178,21 @@ def _row_numbers() -> Iterator[int]:
     return itertools.count((context.partitionId() if context else 0) << 33)
 
 
-def _batches(rows: Iterable[tuple], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Record batches of about ``limit`` payload bytes."""
     held, size = [], 0
     for r in rows:
         held.append(r)
         size += len(r[5]) + 256
         if size >= limit:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +214,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at, row_no = at + 1, next(numbers)
                 yield pages[at], fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last, row_no
 
-    yield from _batches(rows())
+    yield from _batches(rows(), _ARROW)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -201,13 +234,15 @@ def write_warc(chunks: DataFrame, folder: str, compress: bool = True) -> list[st
     sized = numbered.select(*record, "uri", "chunk_no", "payload").repartition(*record).withColumn("size", F.sum(F.octet_length("payload")).over(W.partitionBy(*record)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"part-{uuid.uuid4().hex}.warc{'.gz' if compress else ''}")
+        name = f"part-{uuid.uuid4().hex}.warc{'.gz' if compress else ''}"
+        files, at = _file_system(folder)
+        files.create_dir(at, recursive=True)
+        path = f"{at.rstrip('/')}/{name}"
         out = raw = before = None
         for batch in batches:
             for r in batch.to_pylist():
                 if raw is None:
-                    raw = open(path + ".tmp", "wb")
+                    raw = files.open_output_stream(path + ".tmp", compression=None)
                 now = (r["record_id"], r["row_no"], r["chunk_no"])
                 if now != (*before[:2], before[2] + 1) if before and before[:2] == now[:2] else now[2] != 0:
                     raise ValueError(f"chunks of {r['record_id']} are missing or repeated without a row_no")
@@ -225,31 +260,34 @@ def write_warc(chunks: DataFrame, folder: str, compress: bool = True) -> list[st
             if compress:
                 out.close()
             raw.close()
-            os.replace(path + ".tmp", path)
-            yield pa.RecordBatch.from_pydict({"path": [path]})
+            files.move(path + ".tmp", path)
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"]})
 
     ordered = sized.sortWithinPartitions(*record, "chunk_no")
     return sorted(r[0] for r in ordered.mapInArrow(write, "path string").collect())
 
 
 def read_warc(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of WARC files, a task for each file; ``page_id`` is null."""
+    """The chunk table of WARC files, a task for each file; ``page_id`` is null, ``error`` only where bytes are no record."""
+    schema = _ARROW.append(pa.field("error", pa.string()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             numbers, row_no = _row_numbers(), -1
             for batch in batches:
                 for path in batch.column(0).to_pylist():
-                    with open(path, "rb") as raw:
+                    files, at = _file_system(path)
+                    with files.open_input_stream(at, compression=None) as raw:
                         stream = Pull(inflate(raw)) if path.endswith(".gz") else raw
                         for fields, number, offset, payload, digest, last in WarcReader(stream, chunk):
                             row_no = next(numbers) if number == 0 else row_no
-                            yield None, fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last, row_no
+                            record = fields.get("warc-record-id")
+                            yield None, record and record.strip("<>"), fields.get("warc-target-uri"), number, offset, payload, digest, last, row_no, fields.get("error")
 
-        yield from _batches(rows())
+        yield from _batches(rows(), schema)
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
-    return files.mapInArrow(read, CHUNKS)
+    return files.mapInArrow(read, T.StructType([*CHUNKS, T.StructField("error", T.StringType())]))
 
 
 def page_record_text(pages: DataFrame) -> DataFrame:
