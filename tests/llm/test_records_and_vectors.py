@@ -185,8 +185,31 @@ def test_long_urls_are_carried(spark):
     url = "http://h/" + "u" * (3 * warc.MAX_HEADER)
     frame = spark.createDataFrame([(1, url, "a", ""), (2, "v", "b", "")], PAGES).coalesce(1)
     assert sorted((r.page_id, r.uri, bytes(r.payload)) for r in warc.page_records(frame).collect()) == [(1, url, b"a"), (2, "v", b"b")]
-    with pytest.raises(ValueError):
-        list(warc.WarcReader(warc.Pull(warc.record_pieces("urn:uuid:1", url, memoryview(b"a")))))
+    assert {f["error"] for f, *_ in warc.WarcReader(warc.Pull(warc.record_pieces("urn:uuid:1", url, memoryview(b"a"))))} == {"header too long"}
+
+
+@pytest.mark.parametrize("chunk, piece", [(1 << 14, 1 << 16), (7, 5), (64, 1)])
+def test_bytes_that_are_no_record_are_reported(chunk, piece):
+    good = b"".join(warc.record_pieces("urn:uuid:1", "u", memoryview(b"body \nWARC/x")))
+    bare = b"WARC/1.1\r\nWARC-Record-ID: <urn:uuid:2>\r\n\r\nno length here\n"
+    latin = good.replace(b": u\r", b": caf\xe9\r")
+    junk, tail = b"junk " * 20 + b"\r\n", b"WARC/1.1\r\nWARC-Rec"
+    got: dict = {}
+    for fields, number, offset, payload, digest, last in warc.WarcReader(io.BytesIO(junk + good + bare + latin + tail), chunk, piece):
+        whole, spans = got.setdefault((fields.get("warc-target-uri"), fields.get("error")), (b"", []))
+        assert offset == len(whole) and len(payload) <= chunk and digest == hashlib.sha1(whole + payload).hexdigest()
+        got[fields.get("warc-target-uri"), fields.get("error")] = (whole + payload, [*spans, last])
+    assert {k: v[0] for k, v in got.items()} == {
+        (None, "no record header"): junk, ("u", None): b"body \nWARC/x", (None, "no content length"): bare, ("café", None): b"body \nWARC/x", (None, "header cut off"): tail,
+    }
+    assert all(v[1] == [False] * (len(v[1]) - 1) + [True] for v in got.values())
+
+
+def test_bad_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"not a record\r\n" + b"".join(warc.record_pieces("urn:uuid:1", "u", memoryview(b"x"))))
+    (tmp_path / "b.warc").write_bytes(b"")
+    got = sorted((r.uri or "", r.error or "", bytes(r.payload)) for r in warc.read_warc(spark, [str(tmp_path / "a.warc"), (tmp_path / "b.warc").as_uri()]).collect())
+    assert got == [("", "no record header", b"not a record\r\n"), ("u", "", b"x")]
 
 
 def test_reader_holds_no_whole_record():
