@@ -16,8 +16,8 @@ EXTENSIONS: dict[str, str] = {
 }
 LANGUAGE_OF: dict[str, str] = {f".{e}": lang for lang, es in EXTENSIONS.items() for e in es.split()}
 DOC_EXTENSIONS = tuple(f".{e}" for e in "txt rst markdown mdx md".split())
-MANIFESTS = tuple(sorted("apm.yml cargo.toml pom.xml pyproject.toml go.mod package.json".split()))
-IGNORED_DIRS = tuple(sorted("__pycache__ .cache .nuxt .next coverage .graphloom target vendor out build dist .git node_modules".split()))
+MANIFESTS = tuple("apm.yml cargo.toml go.mod package.json pom.xml pyproject.toml".split())
+IGNORED_DIRS = tuple(".cache .git .graphloom .next .nuxt __pycache__ build coverage dist node_modules out target vendor".split())
 MAX_BYTES = 1_000_000
 
 VENDORED = r"(?i)(^|/)(vendored|third_party|vendor)(/|$)"

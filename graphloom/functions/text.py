@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say the same in code, by word.
+#: Words that say the same in code, by word; their order is that in which they join a text's terms.
 LEXICON: dict[str, tuple[str, ...]] = {
-    "parse": ("extract", "read", "decode"),
-    "render": ("display", "paint", "draw"),
-    "validate": ("assert", "verify", "check"),
-    "error": ("exception", "failure", "fail", "err"),
-    "config": ("options", "settings", "configuration"),
-    "user": ("profile", "member", "account"),
-    "fetch": ("read", "query", "retrieve", "load", "get"),
-    "update": ("set", "patch", "modify", "edit"),
-    "create": ("insert", "make", "new", "add"),
-    "remove": ("rm", "destroy", "delete"),
-    "delete": ("drop", "rm", "destroy", "remove"),
-    "logout": ("session", "signout"),
-    "login": ("session", "signin", "authenticate", "auth"),
-    "auth": ("credential", "signin", "login", "authentication", "authenticate"),
+    word: tuple(more.split())
+    for word, more in {
+        "auth": "authenticate authentication login signin credential",
+        "config": "configuration settings options",
+        "create": "add new make insert",
+        "delete": "remove destroy rm drop",
+        "error": "err fail failure exception",
+        "fetch": "get load retrieve query read",
+        "login": "auth authenticate signin session",
+        "logout": "signout session",
+        "parse": "decode read extract",
+        "remove": "delete destroy rm",
+        "render": "draw paint display",
+        "update": "edit modify patch set",
+        "user": "account member profile",
+        "validate": "check verify assert",
+    }.items()
 }
-STOP_WORDS: tuple[str, ...] = tuple(sorted("function var let const return into from with that this for and the".split()))
+STOP_WORDS: tuple[str, ...] = tuple("and const for from function into let return that the this var with".split())
 
 _CAMEL = (r"([a-z0-9])([A-Z])", r"$1 $2")
 _ACRONYM = (r"([A-Z]+)([A-Z][a-z])", r"$1 $2")
@@ -55,8 +58,9 @@ def split_identifier(c: Column | str) -> Column:
 
 def expand_synonyms(tokens: Column) -> Column:
     """Distinct tokens, then the words each adds, in order of first appearance."""
-    words = F.create_map(*[x for k, v in sorted(LEXICON.items()) for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(words, t), F.array().cast("array<string>"))))))
+    keys = F.array_intersect(tokens, F.array(*[F.lit(k) for k in LEXICON]))  # few, so only these are looked up
+    words = F.create_map(*[x for k, v in LEXICON.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    return F.array_union(tokens, F.flatten(F.transform(keys, lambda t: F.try_element_at(words, t))))
 
 
 def doc_tokens(c: Column | str) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,10 +123,20 @@ def stats(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, version: int = 1) -> DataFrame:
-    """SHA-256 over path, hash and analyzer version of all files in path order."""
-    rows = F.array_sort(F.collect_list(F.struct("path", "hash")))
-    line = lambda r: F.concat(r["path"], F.lit("\0"), r["hash"], F.lit(f"\0{version}\n"))
-    return files.agg(F.sha2(F.array_join(F.transform(rows, line), ""), 256).alias("fingerprint"))
+    """SHA-256 over path, hash and analyzer version of all files in path order.
+
+    The tasks sort; one reads their sorted parts one after another and holds a batch at a time, as the digest is of one stream.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h.update(f"{p}\0{x}\0{version}\n".encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_pydict({"fingerprint": [h.hexdigest()]})
+
+    known = files.select("path", "hash").filter("path is not null and hash is not null")
+    return known.orderBy("path", "hash").coalesce(1).mapInArrow(digest, "fingerprint string")
 
 
 def inventory(nodes: DataFrame, edges: DataFrame, roles: DataFrame) -> DataFrame:

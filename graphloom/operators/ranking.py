@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,20 +74,25 @@ def within_budget(ranked: DataFrame, by: list[str], order: list, cost: str, budg
 
 
 def greedy_fit(ranked: DataFrame, by: list[str], item: list[str], rank: str, cost: str, budget: float) -> DataFrame:
-    """Rows of each group taken in rank order, those that no longer fit skipped; the first always taken."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(cost).cast("double").alias("c"), F.struct(*item).alias("i"))))
-    empty = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("taken"))
-    at = F.transform(rows, lambda x, p: F.struct(x["c"].alias("c"), p.alias("p")))
-    fold = F.aggregate(
-        at,
-        empty,
-        lambda s, x: F.when(
-            (s["used"] + x["c"] <= budget) | (F.size(s["taken"]) == 0),
-            F.struct((s["used"] + x["c"]).alias("used"), (s["n"] + 1).alias("n"), F.array_append(s["taken"], x["p"]).alias("taken")),
-        ).otherwise(s),
-    )
-    picked = ranked.groupBy(*by).agg(rows.alias("rows"), fold["taken"].alias("taken"))
-    return picked.select(*by, F.explode(F.transform("taken", lambda p: F.get("rows", p))).alias("x")).select(*by, "x.i.*", F.col("x.r").alias(rank), F.col("x.c").alias(cost))
+    """Rows of each group taken in rank order, those that no longer fit skipped; the first always taken.
+
+    A group passes through one task row by row, sorted on the way; no more than a batch of it is held.
+    """
+    columns = [*by, *item, rank, F.col(cost).cast("double").alias(cost)]
+    rows = ranked.select(*columns).repartition(*by).sortWithinPartitions(*by, rank, *item)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0.0
+        for batch in batches:
+            costs, keep = batch.column(cost).to_pylist(), []
+            for key, c in zip(zip(*(batch.column(b).to_pylist() for b in by)), costs):
+                first = key != now
+                now, used = key, 0.0 if first else used
+                keep.append(first or used + c <= budget)
+                used += c * keep[-1]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(fit, rows.schema)
 
 
 def map_tier(ranked: DataFrame, most: int = 8) -> DataFrame:
@@ -105,8 +113,10 @@ def covered_by(nodes: DataFrame, edges: DataFrame, roles: DataFrame, most: int =
     """id, covered_by: up to ``most`` test files whose nodes call a definition, else (none)."""
     tests = roles.filter("role = 'test'").select(F.col("path").alias("file_path"))
     by = nodes.join(tests, "file_path", "left_semi").select(F.col("id").alias("source"), "file_path")
-    hits = edges.filter("kind = 'calls'").join(by, "source").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("file_path")).alias("f"))
-    names = F.when(F.col("f").isNull(), "(none)").otherwise(F.array_join(F.slice("f", 1, most), ", "))
+    hits = edges.filter("kind = 'calls'").join(by, "source").select(F.col("target").alias("id"), "file_path").distinct()
+    best = hits.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("file_path"))).filter(F.col("r") <= most)
+    hits = best.groupBy("id").agg(F.array_sort(F.collect_list("file_path")).alias("f"))
+    names = F.when(F.col("f").isNull(), "(none)").otherwise(F.array_join("f", ", "))
     return nodes.filter(F.col("kind").isin(*DEFINITIONS)).select("id").join(hits, "id", "left").select("id", names.alias("covered_by"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import basic_tokens, doc_tokens, expand_synonyms, split_identifier
+from graphloom.session import cut
 
 K1, B = 1.5, 0.75
 FTS_K1, FTS_B = 1.2, 0.75
@@ -45,19 +46,30 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, query: str, k1: float = K1, b: float = B, tokens=doc_tokens, counted: bool = False) -> DataFrame:
-    """id, score > 0 of the documents for a query. Only the query's terms leave the scan."""
+def bm25_lists(docs: DataFrame, queries: list[str], k1: float = K1, b: float = B, tokens=doc_tokens, counted: bool = False) -> list[DataFrame]:
+    """id, score > 0 of the documents for each query.
+
+    The texts are read and tokenised once for all queries: what stays of a document is its length and the tokens that some query
+    has. Totals, document frequencies and scores come from that lean table.
+    """
     spark = docs.sparkSession
-    sized = tokenised(docs, tokens)
-    total = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    terms = query_terms(query, spark, tokens)
-    each = exploded(sized).join(F.broadcast(terms), "term")
+    terms = [sorted(r["term"] for r in query_terms(q, spark, tokens).collect()) for q in queries]
+    wanted = F.array(*[F.lit(t) for t in sorted({t for ts in terms for t in ts})]).cast("array<string>")
+    hits = F.filter("toks", lambda t: F.array_contains(wanted, t)) if counted else F.array_intersect("toks", wanted)
+    lean = cut(tokenised(docs, tokens).select("id", "len", hits.alias("hits")))
+    total = lean.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).first()
+    each = lean.filter(F.size("hits") > 0).select("id", "len", F.explode("hits").alias("term"))
     tf = each.groupBy("id", "len", "term").agg(F.count("*").alias("tf")) if counted else each.withColumn("tf", F.lit(1))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("len", F.lit(1)) / F.col("avg_len")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("len", F.lit(1)) / F.lit(total["avg_len"] or 1.0)))
+    idf = F.ln(1 + (F.lit(total["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = tf.join(F.broadcast(df.select("term", idf.alias("idf"))), "term").select("id", "term", part.alias("part"))  # a row for each term of the queries
+    return [scored.filter(F.col("term").isin(*ts) if ts else F.lit(False)).groupBy("id").agg(F.sum("part").alias("score")).filter("score > 0") for ts in terms]
+
+
+def bm25(docs: DataFrame, query: str, k1: float = K1, b: float = B, tokens=doc_tokens, counted: bool = False) -> DataFrame:
+    """id, score > 0 of the documents for a query."""
+    return bm25_lists(docs, [query], k1, b, tokens, counted)[0]
 
 
 def fts(docs: DataFrame, query: str) -> DataFrame:
@@ -87,14 +99,19 @@ def relevance(lists: list[DataFrame]) -> DataFrame:
 
 def vocabulary(docs: DataFrame, size: int = MAX_VOCABULARY) -> DataFrame:
     """term, df, idf of the most frequent terms, ties by term."""
-    n = docs.agg(F.count("*").alias("n_docs"))
-    kept = document_frequency(docs).orderBy(F.desc("df"), "term").limit(size)
-    return kept.crossJoin(F.broadcast(n)).select("term", "df", F.ln(1 + F.col("n_docs") / F.col("df")).alias("idf"))
+    return _vocabulary(tokenised(docs), docs.count(), size)
+
+
+def _vocabulary(sized: DataFrame, n_docs: int, size: int) -> DataFrame:
+    kept = exploded(sized).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(size)
+    return kept.select("term", "df", F.ln(1 + F.lit(n_docs) / F.col("df")).alias("idf"))
 
 
 def tfidf(docs: DataFrame, size: int = MAX_VOCABULARY) -> DataFrame:
-    """id, term, val over the kept vocabulary; a document's length counts all its terms."""
-    return postings(docs).join(F.broadcast(vocabulary(docs, size)), "term").select("id", "term", (F.col("idf") / F.greatest("len", F.lit(1))).alias("val"))
+    """id, term, val over the kept vocabulary; a document's length counts all its terms. Texts are tokenised once."""
+    sized = cut(tokenised(docs))
+    known = F.broadcast(_vocabulary(sized, sized.count(), size))  # ``size`` rows at most
+    return exploded(sized).join(known, "term").select("id", "term", (F.col("idf") / F.greatest("len", F.lit(1))).alias("val"))
 
 
 def cosine(vectors: DataFrame, query: DataFrame) -> DataFrame:

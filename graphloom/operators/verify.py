@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import name_suffixes
 from graphloom.schema import lookup
 
-_SCRIPT = tuple(sorted("console JSON Math Object Array Promise Set Map String Number Boolean Date RegExp Error Symbol parseInt parseFloat isNaN fetch setTimeout setInterval clearTimeout clearInterval structuredClone require".split()))
+_SCRIPT = tuple("Array Boolean Date Error JSON Map Math Number Object Promise RegExp Set String Symbol clearInterval clearTimeout console fetch isNaN parseFloat parseInt require setInterval setTimeout structuredClone".split())
 BUILTINS: dict[str, tuple[str, ...]] = {
     "javascript": _SCRIPT,
     "typescript": _SCRIPT,
-    "go": tuple(sorted("append cap clear close copy delete len make max min new panic print println recover".split())),
-    "python": tuple(sorted("TypeError ValueError Exception type hasattr setattr getattr sorted filter map zip enumerate super isinstance open tuple set list dict float int str range len print".split())),
+    "go": tuple("append cap clear close copy delete len make max min new panic print println recover".split()),
+    "python": tuple("Exception TypeError ValueError dict enumerate filter float getattr hasattr int isinstance len list map open print range set setattr sorted str super tuple type zip".split()),
 }
 CHANGED_KINDS = ("class", "function", "interface", "method")
 FINDING = ("severity", "rule", "file", "line", "message")
@@ -68,8 +69,12 @@ def blast_radius(changed: DataFrame, nodes: DataFrame, edges: DataFrame, changed
     """Findings for changed definitions (id, file, line, qualified_name) with callers in files outside the change."""
     outside = nodes.join(changed_files.select(F.col("file").alias("file_path")), "file_path", "left_anti").select(F.col("id").alias("source"), F.col("file_path").alias("cf"), F.col("start_line").alias("cl"))
     calls = edges.filter("kind = 'calls'").select("source", F.col("target").alias("id")).distinct()
-    by = calls.join(changed, "id").join(outside, "source").groupBy("id", "file", "line", "qualified_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cf", "cl"))).alias("c"))
-    some = F.array_join(F.transform(F.slice("c", 1, 3), lambda x: F.concat(x["cf"], F.lit(":"), x["cl"].cast("string"))), ", ")
+    each = calls.join(changed, "id").join(outside, "source")
+    n = each.groupBy("id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("cf", "cl", "source"))
+    top = each.withColumn("r", rank).filter(F.col("r") <= 3).groupBy("id", "file", "line", "qualified_name").agg(F.array_sort(F.collect_list(F.struct("cf", "cl"))).alias("c"))
+    by = top.join(n, "id")
+    some = F.array_join(F.transform("c", lambda x: F.concat(x["cf"], F.lit(":"), x["cl"].cast("string"))), ", ")
     text = F.concat("qualified_name", F.lit(" changed, callers outside the change: "), F.col("n").cast("string"), F.lit(" ("), some, F.lit(")"))
     return by.select(F.lit("warn").alias("severity"), F.lit("blast-radius").alias("rule"), "file", "line", text.alias("message"))
 

@@ -101,24 +101,28 @@ def range_containment(s, d):
 
 
 ALLOWED = ("the", "hello")
+#: What every answer calls, too: two symbols of the graph and one that nothing knows.
+CALLED = ("FRANCE", "v1", "no_such_symbol")
 _PY = ", ".join(f"'{x}'" for x in Y.BUILTINS["python"])
 _MENTIONS = f"""turns AS (SELECT conv_id, turn, role, 'chat/' || conv_id || '.py' AS file, {S.basic('text')} AS k FROM conversations WHERE conv_id IS NOT NULL),
 asked AS (SELECT DISTINCT file, unnest(k) AS name FROM turns WHERE role = 'user'),
-calls AS (SELECT DISTINCT file, turn AS line, unnest(k) AS name FROM turns WHERE role = 'assistant'),
+calls AS (SELECT DISTINCT file, turn AS line, unnest(k) AS name FROM turns WHERE role = 'assistant' UNION SELECT DISTINCT file, turn, unnest([{', '.join(map(repr, CALLED))}]) FROM turns WHERE role = 'assistant'),
+ends AS (SELECT DISTINCT array_to_string(string_split(qualified_name, '.')[i:], '.') AS name FROM nodes, range(1, 5) t(i) WHERE i <= len(string_split(qualified_name, '.'))),
 unknown AS (SELECT CASE WHEN true THEN 'error' END AS severity, 'unknown-symbol' AS rule, file, line, 'call to ''' || name || ''': nothing of this name is known here' AS message FROM calls
-  WHERE name NOT IN ({", ".join(repr(a) for a in ALLOWED)}) AND name NOT IN ({_PY}) AND NOT EXISTS (SELECT 1 FROM asked a WHERE a.file = calls.file AND a.name = calls.name))"""
+  WHERE name NOT IN ({", ".join(repr(a) for a in ALLOWED)}) AND name NOT IN ({_PY}) AND name NOT IN (SELECT name FROM ends) AND NOT EXISTS (SELECT 1 FROM asked a WHERE a.file = calls.file AND a.name = calls.name))"""
 
 
 def _unknown(s: SparkSession, d: str) -> DataFrame:
     """An answer's words are calls, the questions' words of the same conversation imports."""
     turns = L.table(s, d, "conversations").filter("conv_id is not null").select(F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit(".py")).alias("file"), "turn", "role", X.basic_tokens("text").alias("k"))
     asked = turns.filter("role = 'user'").select("file", F.explode("k").alias("local_name")).distinct()
-    calls = turns.filter("role = 'assistant'").select("file", F.lit("python").alias("language"), F.col("turn").alias("line"), F.explode("k").alias("name")).distinct()
+    more = F.array(*[F.lit(x) for x in CALLED])
+    calls = turns.filter("role = 'assistant'").select("file", F.lit("python").alias("language"), F.col("turn").alias("line"), F.explode(F.concat("k", more)).alias("name")).distinct()
     allow = s.createDataFrame([(a,) for a in ALLOWED], "name string")
-    return Y.unknown_symbols(calls, L.nodes(s, d).filter("kind = 'module'"), asked, allow)
+    return Y.unknown_symbols(calls, L.nodes(s, d), asked, allow)
 
 
-@query(f"WITH {_MENTIONS} SELECT * FROM unknown")
+@query(f"{WITH}, {_MENTIONS} SELECT * FROM unknown")
 def unknown_symbol_anti(s, d):
     return _unknown(s, d)
 
@@ -191,9 +195,11 @@ def role_classify(s, d):
     return L.table(s, d, "documents").select("doc_id", C.role_of(path, F.col("text"), C.language_of(path), none, no, no).alias("role"))
 
 
-@query()
+@query(f"""WITH {_FEED}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id)) > {GAP_SECONDS * 1_000_000}::BIGINT THEN 1 ELSE 0 END AS cut FROM feed),
+b AS (SELECT *, sum(cut) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM g)
+SELECT path, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM b GROUP BY path, burst HAVING max(ts) + INTERVAL {GAP_SECONDS} SECOND <= (SELECT max(ts) FROM feed) - INTERVAL 1 HOUR""")
 def stream_debounce(s, d):
     """The bursts that a stream over the events has closed by the end of its input."""
     from graphloom.streaming import watch
 
-    return watch.run_once(watch.debounced(watch.event_stream(s, d)))
+    return watch.run_once(watch.debounced(watch.event_stream(s, d))).select("path", "event_id", "n_events")

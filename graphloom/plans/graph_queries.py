@@ -151,10 +151,11 @@ def inventory(s, d):
     return G.inventory(nodes, edges, L.roles(nodes))
 
 
-@query(f"{WITH}, {_INVENTORY} SELECT path, symbols FROM inv WHERE inbound_edges = 0 AND role <> 'entrypoint'")
+@query(f"{WITH}, {_INVENTORY.replace('FROM edges e', "FROM (FROM edges WHERE kind = 'contains') e")} SELECT path, symbols FROM inv WHERE inbound_edges = 0 AND role <> 'entrypoint'")
 def orphans(s, d):
+    """Files that no other file contains anything of."""
     nodes, edges = _graph(s, d)
-    return G.inventory(nodes, edges, L.roles(nodes)).filter("orphaned").select("path", "symbols")
+    return G.inventory(nodes, edges.filter("kind = 'contains'"), L.roles(nodes)).filter("orphaned").select("path", "symbols")
 
 
 @query(f"{WITH} SELECT event_id, 'v' || event_id AS name FROM events WHERE 'v' || event_id NOT IN (SELECT regexp_extract(qualified_name, '[^.]*$') FROM nodes)")

@@ -9,22 +9,14 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import retrieval as R
 from graphloom.plans import sql as S
+from graphloom.plans.register import registrar
 from graphloom.sources.lift import document_files, nodes, symbol_documents, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 QUERY = "return the worthless parse error of the configuration and fetch user session"
 FTS_QUERY = "nation_1 Customer ring gizmo"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = registrar(QUERIES, ORACLES)
 
 
 def _digest(tokens):
@@ -121,8 +113,7 @@ _QUERY2 = "delete user config"
 
 
 def _two_lists(spark, d, k):
-    docs = symbol_documents(spark, d)
-    return [R.top(R.bm25(docs, QUERY), k), R.top(R.bm25(docs, _QUERY2), k)]
+    return [R.top(x, k) for x in R.bm25_lists(symbol_documents(spark, d), [QUERY, _QUERY2])]
 
 
 def _two_sql(k: int) -> str:

@@ -11,6 +11,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -22,10 +23,12 @@ def build_session(name: str = "graphloom", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors see; one of our own only where none is set."""
+    """The session's checkpoint folder, which all executors see; one of our own only where none is set, in local mode."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not wanted and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return sc.getCheckpointDir()
 
