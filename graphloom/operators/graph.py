@@ -102,9 +102,9 @@ def spine(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int = 2
     return included
 
 
-def find_symbols(nodes: DataFrame, names: DataFrame) -> DataFrame:
+def find_symbols(nodes: DataFrame, names: DataFrame, without: tuple[str, ...] = NOT_SYMBOLS) -> DataFrame:
     """name, id of the best node of each name: exact before suffix, then the least id; names without a node are left out."""
-    real = nodes.filter(~F.col("kind").isin(*NOT_SYMBOLS))
+    real = nodes.filter(~F.col("kind").isin(*without)) if without else nodes
     ends = real.select("id", F.col("qualified_name").alias("q"), F.explode(name_suffixes("qualified_name")).alias("name"))
     return ends.join(names.select("name").distinct(), "name").groupBy("name").agg(F.min(F.struct((F.col("q") != F.col("name")).alias("inexact"), "id")).alias("m")).select("name", "m.id")
 

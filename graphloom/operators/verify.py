@@ -23,8 +23,9 @@ SKIPPED_ROLES = ("generated", "vendored")
 
 def allow_list(spark, path: str, more: tuple[str, ...] = ()) -> DataFrame:
     """name: the lines of an allow file without comments and blanks, and ``more``."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("name"))
-    return lines.filter("name <> ''").unionByName(spark.createDataFrame([(m,) for m in more], "name string")).distinct()
+    with open(path, encoding="utf-8") as lines:  # a settings file; Spark's readers pass over names that start with a dot
+        names = [x for line in lines if (x := line.partition("#")[0].strip())]
+    return spark.createDataFrame([(n,) for n in dict.fromkeys([*names, *more])], "name string")
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, line: str = "line", bin_size: int = 64) -> DataFrame:

@@ -1,11 +1,10 @@
 """Extractors: a table of files becomes nodes, edges and imports.
 
 Each file is read by itself, so extraction is one pass without a shuffle. Documents, manifests, server configurations,
-Terraform and the script blocks of single-file components have readers of their own. Code is read by a lexer that
-blanks comments and strings and finds definitions, calls and imports by pattern; no compiler is at hand. An edge
-is ``ast_exact`` only where a call's bare name has one definition in its file; a call on a receiver is a dynamic
-dispatch, any other name an unresolved placeholder that import resolution may lead on. Read and write references,
-receiver types and lexical shadowing need a syntax tree and are left out.
+Terraform, scripts (``script``: scopes, receiver types, reads and writes) and the script blocks of single-file
+components have readers of their own. Other code is read by a lexer that blanks comments and strings and finds definitions,
+calls and imports by pattern. There an edge is ``ast_exact`` only where a call's bare name has one definition in its file; a
+call on a receiver is a dynamic dispatch, any other name an unresolved placeholder that import resolution may lead on.
 
 Defined cases: a null or empty text has a file node only; an unknown language is passed over; a file that can't be read
 as its format (broken JSON) gives its file node.
@@ -23,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.classify import EXTENSIONS
+from graphloom.sources.script import read_script
 
-PACKAGES, DOC_REFS, WIKI = "<packages>", "<docref>", "<wiki>"
+FILE, PACKAGES, DOC_REFS, WIKI = "<file>", "<packages>", "<docref>", "<wiki>"
 ROW = (
     "path string, seq int, what string, id string, kind string, qualified_name string, file_path string, language string, start_line int, end_line int, signature string, docstring string, "
-    "is_exported boolean, source string, target string, line int, provenance string, confidence double, resolver string, boundary string, local_name string, imported_name string, module_spec string"
+    "is_exported boolean, source string, target string, line int, provenance string, confidence double, resolver string, boundary string, read_write string, local_name string, imported_name string, module_spec string"
 )
 _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 _ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in ROW.split(", "))])
@@ -42,7 +42,7 @@ class Out:
 
     def __init__(self, path: str, language: str, text: str):
         self.path, self.language, self.rows, self._edges, self._nodes = path, language, [], set(), set()
-        self.file = self.node("file", path, 1, text.count("\n") + 1)
+        self.file = self.node("file", FILE, 1, text.count("\n") + 1)
 
     def _add(self, what: str, **values) -> None:
         self.rows.append({"path": self.path, "seq": len(self.rows), "what": what, **values})
@@ -55,14 +55,14 @@ class Out:
             self._add("node", id=i, kind=kind, qualified_name=name, file_path=file, language=self.language, start_line=start, end_line=start if end is None else end, signature=signature, docstring=docstring, is_exported=exported)
         return i
 
-    def edge(self, source: str, target: str, kind: str, line: int, provenance: str, confidence: float, resolver: str, boundary: str | None = None) -> None:
-        key = (source, target, kind, line)
+    def edge(self, source: str, target: str, kind: str, line: int, provenance: str, confidence: float, resolver: str, boundary: str | None = None, read_write: str | None = None) -> None:
+        key = (source, target, kind, line, read_write)
         if key not in self._edges:
             self._edges.add(key)
-            self._add("edge", source=source, target=target, kind=kind, line=line, provenance=provenance, confidence=confidence, resolver=resolver, boundary=boundary)
+            self._add("edge", source=source, target=target, kind=kind, line=line, provenance=provenance, confidence=confidence, resolver=resolver, boundary=boundary, read_write=read_write or ("call" if kind == "calls" else None))
 
-    def unresolved(self, source: str, name: str, line: int, boundary: str) -> None:
-        self.edge(source, self.node("unresolved", f"<unresolved>.{name}", line), "calls", line, "unresolved", 0.0, "none", boundary)
+    def unresolved(self, source: str, name: str, line: int, boundary: str, resolver: str = "none") -> None:
+        self.edge(source, self.node("unresolved", f"<unresolved>.{name}", line), "calls", line, "unresolved", 0.0, resolver, boundary)
 
     def package(self, name: str, line: int = 1, provenance: str = "ast_exact", confidence: float = 1.0, source: str | None = None) -> None:
         self.edge(source or self.file, self.node("module", name, 1, file=PACKAGES, exported=True), "references", line, provenance, confidence, "manifest-dep")
@@ -92,7 +92,7 @@ def read_docs(out: Out, text: str) -> None:
                     elif p not in ("", ".", ".."):
                         parts.append(p)
                 target = "/".join(parts)
-                out.edge(out.file, node_id(target, target), "references", n, "ast_exact", 1.0, "docs-link")
+                out.edge(out.file, node_id(target, FILE), "references", n, "ast_exact", 1.0, "docs-link")
         for m in _WIKI.finditer(line):
             name = m[1].strip()
             if ("wiki", name) not in seen:
@@ -181,11 +181,8 @@ def read_terraform(out: Out, text: str) -> None:
 
 
 _W = r"([A-Za-z_$][\w$]*)"
-_SCRIPT = [(rf"\bclass\s+{_W}", "class"), (rf"\binterface\s+{_W}", "interface"), (rf"\benum\s+{_W}", "enum"), (rf"\btype\s+{_W}\s*(?:<[^=]*>)?\s*=", "type_alias"), (rf"\bfunction\s*\*?\s*{_W}", "function"),
-           (rf"\b(?:const|let|var)\s+{_W}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n]+)?=>", "function"), (rf"(?m)^\s+(?:(?:public|private|protected|static|async|readonly)\s+)*{_W}\s*\([^)\n]*\)\s*(?::[^{{\n]+)?\{{", "method")]
 #: (pattern of a definition's name, kind) by language; other languages share the last entry.
 RULES: dict[str, list[tuple[str, str]]] = {
-    "typescript": _SCRIPT, "javascript": _SCRIPT,
     "python": [(rf"(?m)^[ \t]*class\s+{_W}", "class"), (rf"(?m)^[ \t]*(?:async\s+)?def\s+{_W}", "function")],
     "go": [(rf"(?m)^func\s+(?:\([^)]*\)\s*)?{_W}", "function"), (rf"(?m)^type\s+{_W}\s+struct", "struct"), (rf"(?m)^type\s+{_W}\s+interface", "interface")],
     "rust": [(rf"\bfn\s+{_W}", "function"), (rf"\bstruct\s+{_W}", "struct"), (rf"\benum\s+{_W}", "enum"), (rf"\btrait\s+{_W}", "interface")],
@@ -202,7 +199,6 @@ _CALL = re.compile(r"(?:([\w$\])]+)\s*(\?\.|\.|::|->)\s*)?\b([A-Za-z_$][\w$]*)\s
 _HASH = frozenset("python ruby elixir bash php".split())
 _NOISE = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|/\*[\s\S]*?\*/|//[^\n]*')
 _NOISE_HASH = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*')
-_IMPORT = re.compile(r"""(?m)^\s*import\s+(?:type\s+)?([^'"\n;]*?)\s*from\s*['"]([^'"]+)['"]""")
 _FROM = re.compile(r"(?m)^\s*from\s+([\w.]+)\s+import\s+([^\n(]+|\([^)]*\))")
 
 
@@ -255,7 +251,7 @@ def read_code(out: Out, text: str, shift: int = 0) -> None:
         if kind == "function" and stack and stack[-1][3] in ("class", "struct"):
             kind = "method"
         head = text[text.rfind("\n", 0, begin) + 1 : begin + 200]
-        exported = bool(re.match(r"\s*(?:export|pub)\b", head)) if language in ("typescript", "javascript", "rust", "vue", "svelte", "astro") else name[:1].isupper() if language == "go" else not name.startswith("_")
+        exported = bool(re.match(r"\s*(?:export|pub)\b", head)) if language == "rust" else name[:1].isupper() if language == "go" else not name.startswith("_")
         i = out.node(kind, full, line(begin), line(max(begin, end - 1)), signature=text[begin:end].split("{")[0].split("\n")[0].strip()[:200], exported=exported and not stack)
         out.edge(stack[-1][4] if stack else out.file, i, "contains", line(begin), "ast_exact", 1.0, "lexer")
         stack.append((begin, end, name, kind, i))
@@ -282,17 +278,7 @@ def read_code(out: Out, text: str, shift: int = 0) -> None:
             out.edge(owner, by_name[name][0], "calls", line(m.start(3)), "ast_inferred", 0.6, "lexer-name")
         else:
             out.unresolved(owner, name, line(m.start(3)), "unresolved-callee")
-    if language in ("typescript", "javascript"):
-        for m in _IMPORT.finditer(text):
-            n, clause = line(m.start(1)), m[1]
-            for star in re.findall(rf"\*\s+as\s+{_W}", clause):
-                out.imported(star, "*", m[2], n)
-            for item in (x.strip() for x in ",".join(re.findall(r"\{([^}]*)\}", clause)).split(",") if x.strip()):
-                name, _, local = item.removeprefix("type ").partition(" as ")
-                out.imported((local or name).strip(), name.strip(), m[2], n)
-            if head := re.match(rf"{_W}\s*(?:,|$)", clause):
-                out.imported(head[1], "default", m[2], n)
-    elif language == "python":
+    if language == "python":
         for m in _FROM.finditer(text):
             for item in (x.strip() for x in m[2].strip("()").split(",") if x.strip()):
                 name, _, local = item.partition(" as ")
@@ -307,12 +293,12 @@ def read_component(out: Out, text: str) -> None:
     language, out.language = out.language, "typescript"
     for m in _SCRIPT_BLOCK.finditer(text):
         group = 1 if m[1] is not None else 2
-        read_code(out, m[group], text.count("\n", 0, m.start(group)))
+        read_script(out, m[group], text.count("\n", 0, m.start(group)))
     out.language = language
     out.rows = [r for r in out.rows if r["what"] != "import"]
 
 
-READERS = {"markdown": read_docs, "manifest": read_manifest, "mcp": read_servers, "terraform": read_terraform, **dict.fromkeys(("vue", "svelte", "astro"), read_component)}
+READERS = {"typescript": read_script, "javascript": read_script, "markdown": read_docs, "manifest": read_manifest, "mcp": read_servers, "terraform": read_terraform, **dict.fromkeys(("vue", "svelte", "astro"), read_component)}
 
 
 def extract(path: str, language: str | None, text: str | None) -> list[dict]:
@@ -345,7 +331,7 @@ def graph_of(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cols = "id kind qualified_name file_path language start_line end_line signature docstring is_exported".split()
     nodes = upsert_nodes(extracted.filter("what = 'node'").select(*cols, F.struct("path", "seq").alias("order")), "order")
     edges = extracted.filter("what = 'edge'").select(
-        "source", "target", "kind", "line", F.lit(1).alias("col"), "provenance", "confidence", "resolver", F.when(F.col("kind") == "calls", "call").alias("read_write"),
+        "source", "target", "kind", "line", F.lit(1).alias("col"), "provenance", "confidence", "resolver", "read_write",
         F.when(F.col("boundary").isNotNull(), F.create_map(F.lit("boundary"), F.col("boundary"))).alias("metadata"),
     )
     imports = extracted.filter("what = 'import'").select(F.col("path").alias("file"), "local_name", "imported_name", "module_spec", "line", "seq")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.classify import accepted, basename, dirname, in_ignored_dir, is_minified, language_of, role_of
+from graphloom.functions.classify import accepted, basename, dirname, in_ignored_dir, language_of, role_of
 from graphloom.schema import ANALYZER_VERSION
 
 TABLES = ("nodes", "edges", "files", "imports")
+SCANNED = ("path", "language", "text", "hash", "mtime_ms")
 
 
 def git_paths(root: str) -> list[str] | None:
@@ -38,15 +43,55 @@ def scan(spark: SparkSession, root: str, use_git: bool = True) -> DataFrame:
     listed = git_paths(root) if use_git else None
     if listed is not None:
         found = found.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi")
+    return _scanned(found)
+
+
+def _scanned(found: DataFrame) -> DataFrame:
     text = F.decode("content", "UTF-8")
     return found.select("path", language_of(F.col("path")).alias("language"), text.alias("text"), F.sha2("content", 256).alias("hash"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"))
 
 
+def scan_one(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The same of one file; no row if a scan would not take it."""
+    raw = spark.read.format("binaryFile").load(str(Path(root) / path)).withColumn("path", F.lit(path))
+    return _scanned(raw.filter(accepted(F.col("path"), F.col("length")) & ~in_ignored_dir(F.col("path"))))
+
+
+def _targets(text: str | None, folder: str) -> list[str]:
+    """Files that a package's main, bin and exports name, as paths of the project."""
+    try:
+        data = json.loads(text or "")
+    except ValueError:
+        return []
+    if not isinstance(data, dict):
+        return []
+    found, waiting = [data["main"]] if isinstance(data.get("main"), str) else [], [data.get("exports")]
+    bins = data.get("bin")
+    found += [b for b in (bins.values() if isinstance(bins, dict) else [bins]) if isinstance(b, str)]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, str):
+            found.append(value)
+        elif isinstance(value, (dict, list)):
+            waiting += value.values() if isinstance(value, dict) else value
+    return sorted({posixpath.normpath(posixpath.join(folder, f)) for f in found})
+
+
+def entry_targets(packages: DataFrame) -> DataFrame:
+    """path of every file that a package.json (dir, text) names as an entry; the walk through exports has no fixed depth."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [t for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in _targets(text, d or "")]
+            yield pa.RecordBatch.from_pydict({"path": pa.array(found, pa.string())})
+
+    return packages.select("dir", "text").mapInArrow(read, "path string").distinct()
+
+
 def with_roles(files: DataFrame, imports: DataFrame) -> DataFrame:
     """``files`` and the role of each; manifests name entry points and their folders."""
     packages = files.filter("language = 'manifest'").select(dirname("path").alias("dir"), "text", basename("path").alias("base"))
-    leaf = F.explode(F.regexp_extract_all("text", F.lit(r'"(?:main|module|bin|import|require|default|types|\./?[^"]*)"\s*:\s*"([^"]+)"'), F.lit(1)))
-    entry = packages.filter("base = 'package.json'").select("dir", leaf.alias("t")).select(F.concat_ws("/", F.nullif("dir", F.lit("")), F.regexp_replace("t", r"^\./", "")).alias("path")).distinct()
+    entry = entry_targets(packages.filter("lower(base) = 'package.json'"))
     used = imports.groupBy(F.col("file").alias("path")).agg(F.collect_set("module_spec").alias("specs"))
     joined = (
         files.withColumn("dir", dirname("path"))
@@ -66,6 +111,3 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
-
-
-__all__ = ["git_paths", "is_minified", "load", "save", "scan", "with_roles"]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graphloom.functions.classify import IGNORED_DIRS
 from graphloom.session import shared_folder
 
 
@@ -29,13 +34,12 @@ def debounced(feed: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> D
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    last = state.get[0] if state.exists else None
-    out = []
-    for r in rows.itertuples():
-        out.append((key[0], r.event_id, "new" if last is None else "touched" if last == r.hash else "changed"))
-        last = r.hash
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["path", "event_id", "action"])
+    hashes = rows["hash"].fillna("")
+    before = hashes.shift(1)
+    before.iloc[0] = state.get[0] if state.exists else None
+    action = np.where(before.isna(), "new", np.where(before == hashes, "touched", "changed"))
+    state.update((hashes.iloc[-1],))
+    yield pd.DataFrame({"path": key[0], "event_id": rows["event_id"].to_numpy(), "action": action})
 
 
 def hash_gate(feed: DataFrame) -> DataFrame:
@@ -55,3 +59,46 @@ def run_once(result: DataFrame) -> DataFrame:
     query = result.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{folder}/rows")
+
+
+class FolderWatcher:
+    """Watches a project's folder and reindexes each file a while after its last change; one file at a time, in order of path."""
+
+    def __init__(self, engine, on_change: Callable[[str, str], None] | None = None, debounce: float = 0.15, interval: float = 0.05):
+        self.engine, self.on_change, self.debounce, self.interval = engine, on_change, debounce, interval
+        self._stop, self._thread = threading.Event(), None
+
+    def _state(self) -> dict[str, tuple[int, int]]:
+        out = {}
+        for folder, dirs, files in os.walk(self.engine.root):
+            dirs[:] = [d for d in dirs if d not in IGNORED_DIRS and not d.startswith(".")]
+            for name in files:
+                path = os.path.join(folder, name)
+                try:
+                    status = os.stat(path)
+                except OSError:
+                    continue
+                out[os.path.relpath(path, self.engine.root).replace(os.sep, "/")] = (status.st_mtime_ns, status.st_size)
+        return out
+
+    def _run(self, last: dict[str, tuple[int, int]]) -> None:
+        waiting: dict[str, float] = {}
+        while not self._stop.wait(self.interval):
+            now = self._state()
+            for path in {p for p in now.keys() | last.keys() if now.get(p) != last.get(p)}:
+                waiting[path] = time.monotonic() + self.debounce  # every change starts the time anew
+            last = now
+            for path in sorted(p for p, due in waiting.items() if due <= time.monotonic()):
+                del waiting[path]
+                self.engine, result = self.engine.reindex_file(path)
+                if self.on_change:
+                    self.on_change(path, result)
+
+    def start(self) -> FolderWatcher:
+        self._thread = threading.Thread(target=self._run, args=(self._state(),), daemon=True)
+        self._thread.start()
+        return self
+
+    def stop(self) -> None:
+        self._stop.set()
+        self._thread.join()

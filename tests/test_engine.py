@@ -77,7 +77,7 @@ def test_readers_of_single_formats():
     tf = [r for r in rows("m.tf", "terraform", 'resource "aws_x" "a" {\n  v = aws_x.b.id\n  w = var.gone\n}\nresource "aws_x" "b" {\n}\n') if r["what"] == "edge" and r["kind"] == "references"]
     assert [(r["line"], r["provenance"]) for r in tf] == [(2, "ast_exact"), (3, "unresolved")]
     mcp = rows("mcp.json", "mcp", '{"mcpServers": {"s": {"command": "npx", "args": ["-y", "pkg"], "env": {"K": "v"}}}}')
-    assert {r["qualified_name"] for r in mcp if r["what"] == "node"} == {"mcp.json", "s", "pkg"}
+    assert {r["qualified_name"] for r in mcp if r["what"] == "node"} == {"<file>", "s", "pkg"}
     vue = [r for r in rows("a.vue", "vue", "<template/>\n<script>\nfunction go() {}\n</script>") if r["what"] == "node" and r["kind"] == "function"]
     assert [(r["qualified_name"], r["start_line"]) for r in vue] == [("go", 3)]
     assert len(rows("package.json", "manifest", "{broken")) == 1 and len(rows("a.ts", "typescript", None)) == 1 and rows("a.bin", None, "x") == []
