@@ -78,6 +78,7 @@ def greedy_fit(ranked: DataFrame, by: list[str], item: list[str], rank: str, cos
 
     A group passes through one task row by row, sorted on the way; no more than a batch of it is held.
     """
+    item = [i for i in item if i not in by]
     columns = [*by, *item, rank, F.col(cost).cast("double").alias(cost)]
     rows = ranked.select(*columns).repartition(*by).sortWithinPartitions(*by, rank, *item)
 

@@ -187,6 +187,38 @@ def _typed_path():
     return F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), ext)
 
 
+#: A script for every document: a class and its caller, a shadowed name, reads, writes and an unknown callee.
+_SCRIPT = (
+    "class Box{0} {{\n  find(n: number) {{ return n }}\n  save(n: number) {{ return this.find(n) }}\n}}\n"
+    "function helper{0}() {{ return {1} }}\n"
+    "export function main{0}(a: number) {{\n  const helper{0} = () => a;\n  let x = helper{0}();\n  x = x + {1};\n  x++;\n  const b = new Box{0}();\n  return b.save(x) + missing{0}(x);\n}}\n"
+)
+#: (source, target, use, provenance, line) of its edges other than containment; {0} is the document's id.
+_SCRIPT_EDGES = (
+    ("Box{0}.find", "Box{0}.find.n", "read", "ast_exact", 2), ("Box{0}.save", "Box{0}.find", "call", "ast_inferred", 3), ("Box{0}.save", "Box{0}.save.n", "read", "ast_exact", 3),
+    ("main{0}", "main{0}.helper{0}", "write", "ast_exact", 7), ("main{0}.helper{0}", "main{0}.a", "read", "ast_exact", 7), ("main{0}", "main{0}.helper{0}", "call", "ast_exact", 8),
+    ("main{0}", "main{0}.x", "write", "ast_exact", 8), ("main{0}", "main{0}.x", "write", "ast_exact", 9), ("main{0}", "main{0}.x", "read", "ast_exact", 9), ("main{0}", "main{0}.x", "readwrite", "ast_exact", 10),
+    ("main{0}", "main{0}.b", "write", "ast_exact", 11), ("main{0}", "main{0}.b", "read", "ast_exact", 12), ("main{0}", "Box{0}.save", "call", "ast_inferred", 12), ("main{0}", "main{0}.x", "read", "ast_exact", 12), ("main{0}", "<unresolved>.missing{0}", "call", "unresolved", 12),
+)
+_EDGE_VALUES = ", ".join(f"('{a}', '{b}', '{u}', '{p}', {n})" for a, b, u, p, n in _SCRIPT_EDGES)
+
+
+@query(f"""SELECT 'scripts/' || doc_id || '.ts' AS path, replace(e.s, '{{0}}', doc_id::VARCHAR) AS source, replace(e.t, '{{0}}', doc_id::VARCHAR) AS target, e.u AS read_write, e.p AS provenance, e.n AS line
+FROM documents, (VALUES {_EDGE_VALUES}) e(s, t, u, p, n)""")
+def script_edges(s, d):
+    """Calls and references of a script rendered for every document, with the names of their ends."""
+    from graphloom.sources import extract
+
+    number, size = F.col("doc_id").cast("string"), F.coalesce(F.char_length("text"), F.lit(0)).cast("string")
+    text = F.replace(F.replace(F.replace(F.replace(F.lit(_SCRIPT), F.lit("{0}"), number), F.lit("{1}"), size), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    files = L.table(s, d, "documents").select(F.concat(F.lit("scripts/"), number, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("text"))
+    rows = extract.extract_files(files.repartition("path"))
+    name = rows.filter("what = 'node'").select("path", "id", "qualified_name")
+    edges = rows.filter("what = 'edge' and kind <> 'contains'").select("path", "source", "target", "read_write", "provenance", "line")
+    ends = lambda df, c: df.join(name.select("path", F.col("id").alias(c), F.col("qualified_name").alias(f"{c}_name")), ["path", c])
+    return ends(ends(edges, "source"), "target").select("path", F.col("source_name").alias("source"), F.col("target_name").alias("target"), "read_write", "provenance", "line")
+
+
 @query("""SELECT doc_id, CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[:20], chr(10)), '@generated|DO NOT EDIT') THEN 'generated' WHEN lang = 'fr' THEN 'test'
 WHEN starts_with(text, '#!') THEN 'entrypoint' WHEN lang = 'en' THEN 'doc' ELSE 'library' END AS role FROM documents""")
 def role_classify(s, d):

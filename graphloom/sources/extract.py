@@ -3,8 +3,8 @@
 Each file is read by itself, so extraction is one pass without a shuffle. Documents, manifests, server configurations,
 Terraform, scripts (``script``: scopes, receiver types, reads and writes) and the script blocks of single-file
 components have readers of their own. Other code is read by a lexer that blanks comments and strings and finds definitions,
-calls and imports by pattern. There an edge is ``ast_exact`` only where a call's bare name has one definition in its file; a
-call on a receiver is a dynamic dispatch, any other name an unresolved placeholder that import resolution may lead on.
+calls and imports by the patterns of its language. There a call's bare name means the first definition of that name in its
+file (``ast_exact``); a call on a receiver is a dynamic dispatch, any other name an unresolved placeholder.
 
 Defined cases: a null or empty text has a file node only; an unknown language is passed over; a file that can't be read
 as its format (broken JSON) gives its file node.
@@ -181,30 +181,67 @@ def read_terraform(out: Out, text: str) -> None:
 
 
 _W = r"([A-Za-z_$][\w$]*)"
-#: (pattern of a definition's name, kind) by language; other languages share the last entry.
+#: Before a name with parameters and a body: types and modifiers, but no word that begins a statement.
+_TYPED = r"(?:(?!(?:return|new|else|throw|await|case|goto|delete|in|not|and|or|using|package|import)\b)[\w.:<>\[\],?*&~@]+\s+[*&]*)+"
+_METHOD = (rf"(?:(?m:^)|(?<=[{{}};]))[ \t]*{_TYPED}{_W}\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:throws\s+[\w., ]+|where[^{{;]+|const|noexcept|override|final)*\s*(?:\{{|=>|;)", "method")
+_BODY = (rf"(?:(?m:^)|(?<=[{{}};:]))[ \t]*{_TYPED}(?:\w+::)*{_W}\s*\([^;{{}}]*?\)\s*(?:const|noexcept|override|final|->\s*[\w:<>&*]+)*\s*\{{", "function")
+_LET = [(r"(?m)^[ \t]*(?:let|and)\s+(?:rec\s+)?([a-z_][\w']*)", "function")]
+#: (pattern of a definition's name, kind) by language; further languages share the last entry.
 RULES: dict[str, list[tuple[str, str]]] = {
     "python": [(rf"(?m)^[ \t]*class\s+{_W}", "class"), (rf"(?m)^[ \t]*(?:async\s+)?def\s+{_W}", "function")],
-    "go": [(rf"(?m)^func\s+(?:\([^)]*\)\s*)?{_W}", "function"), (rf"(?m)^type\s+{_W}\s+struct", "struct"), (rf"(?m)^type\s+{_W}\s+interface", "interface")],
+    "go": [(rf"(?m)^func\s+\([^)]*\)\s*{_W}", "method"), (rf"(?m)^func\s+{_W}", "function"), (rf"(?m)^type\s+{_W}", "struct")],
     "rust": [(rf"\bfn\s+{_W}", "function"), (rf"\bstruct\s+{_W}", "struct"), (rf"\benum\s+{_W}", "enum"), (rf"\btrait\s+{_W}", "interface")],
-    "ruby": [(rf"(?m)^\s*class\s+{_W}", "class"), (rf"(?m)^\s*module\s+{_W}", "module"), (rf"(?m)^\s*def\s+(?:self\.)?{_W}", "method")],
-    "elixir": [(r"\bdefmodule\s+([\w.]+)", "module"), (rf"\bdefp?\s+{_W}", "function")],
-    "": [(rf"\b(?:class|object|trait)\s+{_W}", "class"), (rf"\binterface\s+{_W}", "interface"), (rf"\bstruct\s+{_W}", "struct"), (rf"\benum\s+{_W}", "enum"), (rf"\b(?:fun|func|fn|def|function|sub)\s+{_W}", "function"),
-         (rf"(?m)^[ \t]*(?:[\w<>\[\],*&:]+\s+)+[*&]*{_W}\s*\([^;{{}}]*\)\s*\{{", "function")],
+    "java": [(rf"\bclass\s+{_W}", "class"), (rf"(?<!@)\binterface\s+{_W}", "interface"), _METHOD],
+    "c_sharp": [(rf"\bclass\s+{_W}", "class"), (rf"\binterface\s+{_W}", "interface"), (rf"\bstruct\s+{_W}", "struct"), _METHOD],
+    "php": [(rf"\bclass\s+{_W}", "class"), (rf"\bfunction\s+&?{_W}", "function")],
+    "ruby": [(rf"(?m)^\s*class\s+{_W}", "class"), (rf"(?m)^\s*module\s+{_W}", "module"), (r"(?m)^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", "method")],
+    "c": [_BODY],
+    "cpp": [(rf"\bclass\s+{_W}(?=[^;()]*\{{)", "class"), (rf"\bstruct\s+{_W}(?=[^;()]*\{{)", "struct"), _BODY],
+    "swift": [(rf"\bfunc\s+{_W}", "function"), (rf"\b(?:class|struct|enum|extension|actor)\s+(?!func\b|var\b|let\b){_W}", "class"), (rf"\bprotocol\s+{_W}", "interface")],
+    "kotlin": [(rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?{_W}", "function"), (rf"\b(?:class|interface)\s+{_W}", "class")],
+    "scala": [(rf"\bdef\s+{_W}", "function"), (rf"\bobject\s+{_W}", "module"), (rf"\bclass\s+{_W}", "class"), (rf"\btrait\s+{_W}", "interface")],
+    "zig": [(rf"\bfn\s+{_W}", "function")],
+    "lua": [(rf"\bfunction\s+(?:\w+[.:])*{_W}", "function"), (rf"\b{_W}\s*=\s*function\b", "function")],
+    "solidity": [(rf"\bfunction\s+{_W}", "function"), (rf"\bcontract\s+{_W}", "class"), (rf"\bstruct\s+{_W}", "struct")],
+    "objc": [(rf"(?m)^@(?:interface|implementation)\s+{_W}", "class"), (rf"(?m)^\s*[-+]\s*\([^)]*\)\s*{_W}", "method")],
+    "bash": [(r"(?m)^[ \t]*(?:function\s+)?([A-Za-z_][\w.\-]*)\s*\(\)", "function"), (r"(?m)^[ \t]*function\s+([A-Za-z_][\w.\-]*)", "function")],
+    "ocaml": _LET, "rescript": _LET,
+    "elixir": [(r"\bdef(?:module|protocol|impl)\s+([\w.]+)", "module"), (r"\bdef(?:p|macro|macrop|guard|guardp|delegate)?\s+([a-z_]\w*[?!]?)", "function")],
+    "": [(rf"\b(?:class|object|trait)\s+{_W}", "class"), (rf"\binterface\s+{_W}", "interface"), (rf"\bstruct\s+{_W}", "struct"), (rf"\b(?:fun|func|fn|def|function|sub)\s+{_W}", "function"), _BODY],
 }
 _COMPILED = {k: [(re.compile(p), kind) for p, kind in v] for k, v in RULES.items()}
-_NOT_CALLS = frozenset("if for while switch catch return function typeof await new def class elif lambda not and or in is with assert func fn match when unless sizeof defer go select case do else super constructor fun import require defmodule defp end raise throw yield print_ del except".split())
+_NOT_CALLS = frozenset("if for while switch catch return function typeof await new def class elif lambda not and or in is with assert func fn match when unless sizeof defer select case returns do else super constructor fun import require defmodule defp end raise throw yield print_ del except foreach using lock fixed guard repeat until elseif local let rec then begin fi done esac".split())
 #: Words that look like a method's name before its parameters.
-_CONTROL = frozenset("if for while switch catch return function else do new typeof await throw".split())
-_CALL = re.compile(r"(?:([\w$\])]+)\s*(\?\.|\.|::|->)\s*)?\b([A-Za-z_$][\w$]*)\s*\(")
+_CONTROL = frozenset("if for while switch catch return function else do new typeof await throw foreach using lock synchronized try rec in sizeof".split())
+_CALL = re.compile(r"(?:([\w$\])?!]+)\s*(\?\.|\.|::|->|:)\s*)?\b([A-Za-z_$][\w$]*)[?!]?\s*\(")
+#: Calls where they aren't written with parentheses; the callee is the third group.
+_OTHER_CALLS: dict[str, re.Pattern] = {
+    "bash": re.compile(r"(?m)(?:^|[;&|(`{]|\b(?:then|do|else|if|while|until)\b)()()[ \t]*([A-Za-z_][\w.\-]*)(?=[ \t\n;)&|]|\Z)(?!\s*(?:\(\)|=))"),
+    "objc": re.compile(r"\[()()\s*(?:[\w.]+|\[[^\[\]]*\])\s+([A-Za-z_]\w*)"),
+    "ocaml": re.compile(r"(?<![\w.'~?])()()([a-z_][\w']*)[ \t]+(?=[\w(\[~?])(?!(?:in|then|else|do|done|with|of|and|as|when|to|downto|mod|land|lor|lxor|lsl|lsr|asr|rec|end)\b)"),
+}
+_OCAML_HEAD = re.compile(r"\b(?:let|and|fun)\b[^=\n]*?(?:=|->)")
 _HASH = frozenset("python ruby elixir bash php".split())
+_INDENTED = frozenset("python ruby elixir lua ocaml".split())
 _NOISE = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|/\*[\s\S]*?\*/|//[^\n]*')
 _NOISE_HASH = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*')
+#: Quotes of these are lifetimes, type variables or primes, and their comments have other signs.
+_NOISES = {
+    "ocaml": re.compile(r'"(?:\\.|[^"\\])*"|\(\*[\s\S]*?\*\)'), "lua": re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|--\[\[[\s\S]*?\]\]|--[^\n]*'),
+    "rust": re.compile(r'"(?:\\.|[^"\\])*"|\'(?:\\[^\n]|[^\'\\\n])\'|/\*[\s\S]*?\*/|//[^\n]*'), "bash": re.compile(r'"(?:\\.|[^"\\])*"|\'[^\']*\'|(?:^|(?<=\s))#[^\n]*'),
+}
 _FROM = re.compile(r"(?m)^\s*from\s+([\w.]+)\s+import\s+([^\n(]+|\([^)]*\))")
 
 
+def _goes_on(blank: str, start: int, stop: int) -> bool:
+    """Whether a head goes on after the line that ends at ``stop``: a bracket is open, or a brace or an indented clause follows."""
+    head = blank[start:stop]
+    return head.count("(") > head.count(")") or bool(re.match(r"\s*(?:\{|where\b|throws\b|extends\b|implements\b|:|->)", blank[stop : stop + 200]))
+
+
 def _ends(text: str, blank: str, start: int, language: str) -> int:
     """Where a definition that starts at ``start`` ends: its block's closing brace, or for Python its indentation."""
-    if language in ("python", "ruby", "elixir"):
+    if language in _INDENTED:
         begin = text.rfind("\n", 0, start) + 1
         indent = len(text[begin:start]) - len(text[begin:start].lstrip())
         at = text.find("\n", start)
@@ -214,6 +251,8 @@ def _ends(text: str, blank: str, start: int, language: str) -> int:
             stop = len(text) if stop < 0 else stop
             line = text[at + 1 : stop]
             if line.strip() and len(line) - len(line.lstrip()) <= indent and not line.strip().startswith(")"):
+                if language in ("ruby", "elixir", "lua") and re.match(r"\s*end\b", line):
+                    last = stop
                 break
             if line.strip():
                 last = stop
@@ -221,8 +260,9 @@ def _ends(text: str, blank: str, start: int, language: str) -> int:
         return last
     at, stop = blank.find("{", start), blank.find("\n", start)
     semicolon = blank.find(";", start)
-    if at < 0 or (0 <= semicolon < at) or (0 <= stop < at and "(" not in blank[start:stop] and "{" not in blank[stop : stop + 3]):
-        return len(text) if stop < 0 else stop
+    if at < 0 or (0 <= semicolon < at) or (0 <= stop < at and not _goes_on(blank, start, stop)):
+        ends = [x for x in (stop, semicolon + 1 if semicolon >= 0 else -1) if x >= 0]
+        return min(ends) if ends else len(text)
     depth = 0
     for i in range(at, len(blank)):
         depth += {"{": 1, "}": -1}.get(blank[i], 0)
@@ -233,7 +273,7 @@ def _ends(text: str, blank: str, start: int, language: str) -> int:
 
 def read_code(out: Out, text: str, shift: int = 0) -> None:
     language = out.language
-    noise = _NOISE_HASH if language in _HASH else _NOISE
+    noise = _NOISES.get(language) or (_NOISE_HASH if language in _HASH else _NOISE)
     blank = noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     line = lambda i: text.count("\n", 0, i) + 1 + shift
     found: dict[int, tuple[str, str, int, int]] = {}
@@ -248,36 +288,40 @@ def read_code(out: Out, text: str, shift: int = 0) -> None:
         while stack and stack[-1][1] <= begin:
             stack.pop()
         full = ".".join([*(s[2] for s in stack), name])
-        if kind == "function" and stack and stack[-1][3] in ("class", "struct"):
+        if kind == "function" and language == "php" and stack and stack[-1][3] == "class":
             kind = "method"
         head = text[text.rfind("\n", 0, begin) + 1 : begin + 200]
         exported = bool(re.match(r"\s*(?:export|pub)\b", head)) if language == "rust" else name[:1].isupper() if language == "go" else not name.startswith("_")
         i = out.node(kind, full, line(begin), line(max(begin, end - 1)), signature=text[begin:end].split("{")[0].split("\n")[0].strip()[:200], exported=exported and not stack)
-        out.edge(stack[-1][4] if stack else out.file, i, "contains", line(begin), "ast_exact", 1.0, "lexer")
+        out.edge(stack[-1][4] if stack else out.file, i, "contains", line(begin), "ast_exact", 1.0, language)
         stack.append((begin, end, name, kind, i))
         placed.append((begin, end, i))
-        by_name.setdefault(name, []).append(i)
+        if language != "elixir" or kind != "module":
+            by_name.setdefault(name, i)  # the first definition of a name counts
     names_at = set(found)
     starts = iter([*placed, (1 << 60, 0, "")])
     upcoming, open_ = next(starts), []
-    for m in _CALL.finditer(blank):
-        while upcoming[0] <= m.start():
+    heads = [m.span() for m in _OCAML_HEAD.finditer(blank)] if language == "ocaml" else []
+    head = 0
+    for m in _OTHER_CALLS.get(language, _CALL).finditer(blank):
+        while upcoming[0] <= m.start(3):
             open_.append(upcoming)
             upcoming = next(starts)
+        while head < len(heads) and heads[head][1] <= m.start(3):
+            head += 1
         name = m[3]
-        if name in _NOT_CALLS or m.start(3) in names_at:
+        if name in _NOT_CALLS or m.start(3) in names_at or head < len(heads) and heads[head][0] <= m.start(3):
             continue
-        while open_ and open_[-1][1] <= m.start():
+        while open_ and open_[-1][1] <= m.start(3):
             open_.pop()
         owner = open_[-1][2] if open_ else out.file
-        if m[2] and m[1] not in ("this", "self", "Self"):
-            out.unresolved(owner, name, line(m.start(3)), "dynamic-dispatch")
-        elif len(targets := set(by_name.get(name, ()))) == 1:
-            out.edge(owner, targets.pop(), "calls", line(m.start(3)), "ast_exact", 1.0, "lexer-scope")
-        elif targets:
-            out.edge(owner, by_name[name][0], "calls", line(m.start(3)), "ast_inferred", 0.6, "lexer-name")
+        sign = m[2] if m[2] != ":" or language == "lua" else ""
+        if sign and m[1] not in ("this", "self", "Self", "$this"):
+            out.unresolved(owner, name, line(m.start(3)), "dynamic-dispatch", language)
+        elif name in by_name:
+            out.edge(owner, by_name[name], "calls", line(m.start(3)), "ast_exact", 1.0, language)
         else:
-            out.unresolved(owner, name, line(m.start(3)), "unresolved-callee")
+            out.unresolved(owner, name, line(m.start(3)), "unresolved-callee", language)
     if language == "python":
         for m in _FROM.finditer(text):
             for item in (x.strip() for x in m[2].strip("()").split(",") if x.strip()):

@@ -82,4 +82,4 @@ def test_readers_of_single_formats():
     assert [(r["qualified_name"], r["start_line"]) for r in vue] == [("go", 3)]
     assert len(rows("package.json", "manifest", "{broken")) == 1 and len(rows("a.ts", "typescript", None)) == 1 and rows("a.bin", None, "x") == []
     py = [(r["qualified_name"], r["kind"]) for r in rows("t.py", "python", FILES["lib/tool.py"]) if r["what"] == "node"]
-    assert ("Tool.run", "method") in py and ("helper", "function") in py
+    assert ("Tool.run", "function") in py and ("helper", "function") in py
