@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -165,24 +166,163 @@ def truncated_svd(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, m: int,
 
 
 LSA = "kind string, key string, vec array<double>"
+_MASK = 0xFFFFFFFF
+#: Documents whose dense rows are held at once.
+_DOCS = 512
+
+
+def _start_block(first: int, size: int, k: int, seed: int = 1) -> np.ndarray:
+    """Elements first, ..., first + size - 1 of the start vectors of k components, without those before them."""
+    power, total, base, step = 1, 0, 1664525, 1013904223  # state after n steps: power * state + total
+    n = first
+    while n:
+        if n & 1:
+            power, total = power * base & _MASK, (total * base + step) & _MASK
+        base, step = base * base & _MASK, (step * base + step) & _MASK
+        n >>= 1
+    seeds = np.array([(seed + 7919 * c & _MASK) or 1 for c in range(k)], dtype=np.uint64)
+    state = (seeds * np.uint64(power) + np.uint64(total)) & np.uint64(_MASK)
+    out = np.empty((size, k))
+    for i in range(size):
+        state = (state * np.uint64(1664525) + np.uint64(1013904223)) & np.uint64(_MASK)
+        out[i] = state
+    return out / _MASK * 2 - 1
+
+
+def _dense(batch: pa.RecordBatch, terms: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Row in the batch and the dense rows from there on, some at a time."""
+    kept, length = batch.column("kept"), np.maximum(batch.column("len").to_numpy(zero_copy_only=False), 1)
+    at = pc.index_in(kept.flatten(), terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[0, np.cumsum(pc.list_value_length(kept).to_numpy(zero_copy_only=False))]
+    row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+    for s in range(0, batch.num_rows, _DOCS):
+        e = min(s + _DOCS, batch.num_rows)
+        d = np.zeros((e - s, len(terms)))
+        part = slice(ends[s], ends[e])
+        d[row[part] - s, at[part]] = idf[at[part]] / length[row[part]]
+        yield s, d
+
+
+def _gram(terms: pa.Array, idf: np.ndarray, first: dict[int, int], k: int):
+    """Products of the terms over a partition's documents, and of the terms with the start vectors: a row for each term."""
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total = len(terms), None
+        for batch in batches:
+            position = batch.column("position").to_numpy(zero_copy_only=False)
+            index = first[int(batch.column("part")[0].as_py())] + position if batch.num_rows else position
+            for s, d in _dense(batch, terms, idf):
+                total = np.zeros((m, m + k)) if total is None else total
+                total[:, :m] += d.T @ d
+                total[:, m:] += d.T @ _start_block(int(index[s]), len(d), k)
+        for s in range(0, m if total is not None else 0, 64):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, min(s + 64, m)), pa.int32()), pa.array(list(total[s : s + 64]), pa.list_(pa.float64()))], names=["t", "vec"])
+
+    return gram
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:  # the parts of a term come sorted by partition, so that their sum is the same every time
+        for t, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            v = v.values.to_numpy(zero_copy_only=False)
+            sums[t] = sums[t] + v if t in sums else v
+    for t, v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([v], pa.list_(pa.float64()))], names=["t", "vec"])
+
+
+def _components(g: np.ndarray, z0: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """U, S and the (terms, k) matrix that a document's row is multiplied by to give its row of V, signs aside.
+
+    Power iteration on the documents' side, x -> A'Ax with the components so far taken out, told in terms alone: with z = Ax the next z
+    is Gw / |A'w|, where w is z without those components and |A'w| the root of w'Gw.
+    """
+    m, k = z0.shape
+    us, ss, ws = np.zeros((m, k)), np.zeros(k), np.zeros((m, k))
+
+    def clear(z: np.ndarray, c: int) -> np.ndarray:
+        for j in range(c):
+            z = z - (z @ us[:, j]) * us[:, j]
+        return z
+
+    for c in range(k):
+        z, w = clear(z0[:, c], c), np.zeros(m)
+        for _ in range(steps):
+            now = clear(z, c)
+            gw = g @ now
+            size = np.sqrt(max(now @ gw, 0.0))
+            if not size > 1e-300:
+                break
+            z, w = gw / size, now / size
+        ss[c] = np.linalg.norm(z)
+        us[:, c], ws[:, c] = (z / ss[c] if ss[c] else z), w
+    return us, ss, ws
+
+
+_ENDS = "c int, size double, at long, value double"
+
+
+def _largest(terms: pa.Array, idf: np.ndarray, first: dict[int, int], ws: np.ndarray):
+    """For each component the largest entry of V in a partition, the first of equals."""
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int, float]] = {}
+        for batch in batches:
+            position = batch.column("position").to_numpy(zero_copy_only=False)
+            for s, d in _dense(batch, terms, idf):
+                v = d @ ws
+                at = np.abs(v).argmax(axis=0)
+                begin = first[int(batch.column("part")[0].as_py())]
+                for c, i in enumerate(at):
+                    new = (float(abs(v[i, c])), begin + int(position[s + i]), float(v[i, c]))
+                    if c not in best or new[0] > best[c][0]:
+                        best[c] = new
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), *(pa.array([b[i] for b in best.values()], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.float64())))], names=["c", "size", "at", "value"])
+
+    return largest
+
+
+def _latent(terms: pa.Array, idf: np.ndarray, ws: np.ndarray, ss: np.ndarray):
+    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, d in _dense(batch, terms, idf):
+                vec = _stable(d @ ws) * ss
+                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(d)), batch.column("id").slice(s, len(d)), pa.array(list(vec), pa.list_(pa.float64()))], names=["kind", "key", "vec"])
+
+    return latent
 
 
 def lsa_index(docs: DataFrame, rank: int = MAX_RANK) -> DataFrame:
     """Rows ('term', term, U row), ('doc', id, S * V row) and ('sigma', '', S).
 
-    The vocabulary is capped, so the matrix grows with the documents only. Power iteration is sequential in its components; it
-    runs in one task over the sparse entries.
+    The vocabulary is capped, so the products of its terms are one matrix of at most 2,000 rows: the tasks add it up over the
+    documents, the driver iterates on it, and the documents' rows come from a second pass. Nothing grows with the documents.
     """
-
-    def build(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        terms, ti = np.unique(e["term"].to_numpy(dtype=str), return_inverse=True)
-        ids, di = np.unique(e["id"].to_numpy(dtype=str), return_inverse=True)
-        order = np.lexsort((ti, di))
-        u, s, v = truncated_svd(ti[order], di[order], e["val"].to_numpy()[order], len(terms), len(ids), max(1, min(rank, len(terms), len(ids))))
-        rows = [("term", t, x) for t, x in zip(terms, u)] + [("doc", i, x) for i, x in zip(ids, v * s)] + [("sigma", "", s)]
-        return pd.DataFrame(rows, columns=["kind", "key", "vec"])
-
-    return tfidf(docs).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(build, LSA)
+    spark = docs.sparkSession
+    sized = cut(tokenised(docs))
+    n_docs = sized.count()
+    known = _vocabulary(sized, n_docs, MAX_VOCABULARY).orderBy("term").collect()
+    if not known:
+        return spark.createDataFrame([], LSA)
+    names, idf = [r["term"] for r in known], np.array([r["idf"] for r in known])
+    terms, k = pa.array(names, pa.string()), max(1, min(rank, len(names), n_docs))
+    lean = sized.select("id", "len", F.array_intersect("toks", F.array(*[F.lit(t) for t in names])).alias("kept")).orderBy("id")
+    number = F.monotonically_increasing_id()
+    lean = cut(lean.select("id", "len", "kept", F.shiftright(number, 33).cast("int").alias("part"), number.bitwiseAND((1 << 33) - 1).alias("position")))
+    first, before = {}, 0
+    for r in lean.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        first[r["part"]], before = before, before + r["n"]
+    parts = lean.mapInArrow(_gram(terms, idf, first, k), "t int, vec array<double>").withColumn("part", F.spark_partition_id())
+    sums = parts.repartition("t").sortWithinPartitions("t", "part").select("t", "vec").mapInArrow(_summed, "t int, vec array<double>").orderBy("t").toArrow()
+    both = np.stack([v.values.to_numpy(zero_copy_only=False) for v in sums.column("vec")])
+    us, ss, ws = _components(both[:, : len(names)], both[:, len(names) :], POWER_STEPS)
+    ends = lean.mapInArrow(_largest(terms, idf, first, ws), _ENDS).groupBy("c").agg(F.max_by("value", F.struct("size", (-F.col("at")).alias("at"))).alias("value")).collect()
+    sign = np.ones(k)
+    for r in ends:
+        sign[r["c"]] = -1.0 if r["value"] < 0 else 1.0
+    us, ss, ws = _stable(us * sign), _stable(ss), ws * sign
+    fixed = spark.createDataFrame([("term", t, u) for t, u in zip(names, us.tolist())] + [("sigma", "", ss.tolist())], LSA)
+    return fixed.unionByName(lean.mapInArrow(_latent(terms, idf, ws, ss), LSA))
 
 
 def lsa_query(index: DataFrame, docs: DataFrame, query: str) -> DataFrame:

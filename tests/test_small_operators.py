@@ -68,6 +68,29 @@ def test_singular_values_equal_numpy():
     assert all((x == y).all() for x, y in zip((u, s, v), again))
 
 
+def test_the_index_spread_over_tasks_equals_one_iteration(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}x" for i in range(30)]
+    docs = [(f"d{i:03d}", " ".join(rng.sample(words, rng.randint(1, 9)))) for i in range(120)] + [("e", ""), ("f", None)]
+    frame = spark.createDataFrame(docs, "id string, text string").repartition(5)
+    got = retrieval.lsa_index(frame, 6).toPandas()
+    entries = retrieval.tfidf(frame).toPandas()
+    ids = sorted(i for i, _ in docs)
+    terms = sorted(set(entries["term"]))
+    rows, cols = entries["term"].map(terms.index).to_numpy(), entries["id"].map(ids.index).to_numpy()
+    order = np.lexsort((rows, cols))
+    u, s, v = retrieval.truncated_svd(rows[order], cols[order], entries["val"].to_numpy()[order], len(terms), len(ids), 6)
+    sigma = got[got["kind"] == "sigma"]["vec"].iloc[0]
+    assert np.allclose(sigma, s, rtol=1e-9)
+    for kind, keys, want in (("term", terms, u), ("doc", ids, v * s)):
+        part = got[got["kind"] == kind].set_index("key")["vec"]
+        assert sorted(part.index) == keys and np.allclose(np.stack(part.loc[keys].to_list()), want, atol=1e-7)
+    assert np.allclose(retrieval._start_block(7, 5, 3)[:, 1], retrieval._start_vector(12, 1 + 7919)[7:])
+    assert retrieval.lsa_index(frame.limit(0)).count() == 0
+
+
 def test_latent_ranking_needs_no_shared_word(spark):
     docs = spark.createDataFrame([("auth", "handleUserSession authenticate login credential validatePassword"), ("math", "computeSum addNumbers multiplyMatrix factorial"), ("render", "drawCanvas paintPixels renderFrame displayImage")], "id string, text string")
     index = retrieval.lsa_index(docs)
