@@ -50,17 +50,26 @@ def dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return used.groupBy("file", "target").agg(F.first("name").alias("name"), last.alias("e")).select("file", "target", "name", "e.provenance", "e.kind")
 
 
+#: Rows of an id and a number or two up to which a frontier is broadcast; beyond, it is joined by shuffle.
+FRONTIER = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table that has been cut, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(FRONTIER + 1).count() <= FRONTIER else df
+
+
 def reach(edges: DataFrame, start: DataFrame, kinds: tuple[str, ...], depth: int, backward: bool = True) -> DataFrame:
     """id, depth of what is reached from ``start`` (id) in at most ``depth`` steps, without it; each round joins its frontier only."""
     here, there = ("target", "source") if backward else ("source", "target")
     steps = edges.filter(F.col("kind").isin(*kinds)).select(F.col(here).alias("id"), F.col(there).alias("to"))
     seen = start.select("id", F.lit(0).alias("depth"))
-    frontier, layers = seen.select("id"), []
+    frontier, layers = start.select("id"), []
     for d in range(1, depth + 1):
         layer = steps.join(frontier, "id", "left_semi").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         layer = cut(layer.withColumn("depth", F.lit(d)))
         layers.append(layer)
-        seen, frontier = seen.unionByName(layer), layer.select("id")
+        seen, frontier = seen.unionByName(layer), _few(layer.select("id"))
     return reduce(DataFrame.unionByName, layers)
 
 
@@ -90,7 +99,7 @@ def spine(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int = 2
     for _ in range(depth):
         if size >= max_nodes:
             break
-        near = steps.join(frontier.select(F.col("id").alias("at"), F.col("ord").alias("turn")), "at").join(included.select("id"), "id", "left_anti").join(known, "id", "left_semi")
+        near = steps.join(_few(frontier.select(F.col("id").alias("at"), F.col("ord").alias("turn"))), "at").join(_few(included.select("id")), "id", "left_anti").join(known, "id", "left_semi")
         first = near.groupBy("id").agg(F.min(F.struct("turn", "way", "id", "kind", "line")).alias("w"))
         added = first.groupBy("w.turn").agg(F.count("*").alias("n"))
         before = W.orderBy("turn").rowsBetween(W.unboundedPreceding, -1)

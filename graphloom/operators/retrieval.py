@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import basic_tokens, doc_tokens, expand_synonyms, split_identifier
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 K1, B = 1.5, 0.75
 FTS_K1, FTS_B = 1.2, 0.75
@@ -21,6 +21,7 @@ MAX_VOCABULARY, MAX_RANK, POWER_STEPS = 2000, 96, 64
 
 def tokenised(docs: DataFrame, tokens: Callable[[str], Column] = doc_tokens) -> DataFrame:
     """id, toks, len. One projection for each step, so that no step is worked out again for the next."""
+    docs = spread(docs)
     if tokens is doc_tokens:
         toks = docs.select("id", split_identifier("text").alias("words")).select("id", expand_synonyms(F.col("words")).alias("toks"))
     else:

@@ -33,6 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of input up to which rows are dealt out anew.
+SMALL_INPUT = 1 << 28
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt out to all cores, as a file of one row group is one task however long it takes; a large one as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read on from there."""
     shared_folder(df.sparkSession)

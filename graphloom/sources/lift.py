@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.classify import CONFIG_PATH, TEST_PATH
 from graphloom.functions.text import node_id
-from graphloom.session import shared_folder
+from graphloom.session import shared_folder, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
         _node(nation.join(F.broadcast(region), c("n_regionkey") == c("r_regionkey")), "nation", "n_nationkey", "module", _cat(c("r_name"), ".", c("n_name")), _cat("geo/", F.lower("r_name"), "/nations.ts"), "typescript", c("n_nationkey") + 1, 0, _cat("nation ", c("n_name")), yes),
         _node(customer, "customer", "c_custkey", "class", _cat(c("n_name"), ".", c("c_name")), _cat("sales/", F.lower("n_name"), "/", F.lower("c_mktsegment"), ".py"), "python", c("c_custkey") + 1, 5, _cat("class ", c("c_name"), "(", c("c_mktsegment"), ")"), c("c_acctbal") > 0),
         _node(supplier, "supplier", "s_suppkey", "struct", _cat(c("n_name"), ".", c("s_name")), _cat("supply/", F.lower("n_name"), ".go"), "go", c("s_suppkey") + 1, 3, _cat("type ", c("s_name"), " struct"), c("s_acctbal") > 0),
-        _node(table(spark, d, "orders"), "order", "o_orderkey", "function", _cat("order.o", c("o_orderkey").cast("string")), F.when(rank == "1", "tests/urgent_orders.py").otherwise(_cat("orders/p", rank, ".py")), "python", c("o_orderkey") * 10 + 1, 8, _cat("def o", c("o_orderkey").cast("string"), "()"), c("o_orderstatus") == "F"),
+        _node(spread(table(spark, d, "orders")), "order", "o_orderkey", "function", _cat("order.o", c("o_orderkey").cast("string")), F.when(rank == "1", "tests/urgent_orders.py").otherwise(_cat("orders/p", rank, ".py")), "python", c("o_orderkey") * 10 + 1, 8, _cat("def o", c("o_orderkey").cast("string"), "()"), c("o_orderstatus") == "F"),
         _node(table(spark, d, "part"), "part", "p_partkey", "interface", _cat(c("p_brand"), ".", F.replace("p_name", F.lit(" "), F.lit("_")), ".v", c("p_partkey").cast("string")), _cat("parts/", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), ".ts"), "typescript", c("p_partkey") + 1, 2, _cat("interface ", c("p_name")), c("p_size") > 25),
     ]
     out = parts[0]
@@ -61,7 +61,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     of = lambda t, k: node_id(F.lit(t), c(k).cast("string"))
     none, one = F.lit(None).cast("string"), F.lit(1.0)
     exact = F.lit("ast_exact")
-    lines = table(spark, d, "lineitem")
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount"))
     by_flag = F.when(c("l_returnflag") == "N", "ast_exact").when(c("l_returnflag") == "A", "ast_inferred").otherwise("unresolved")
     status = F.when(c("o_orderstatus") == "F", "ast_exact").when(c("o_orderstatus") == "O", "ast_inferred").otherwise("heuristic")
     rw = F.when(c("l_linestatus") == "O", "read").otherwise("write")
@@ -70,7 +70,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
         _edge(table(spark, d, "nation"), of("region", "n_regionkey"), of("nation", "n_nationkey"), "contains", c("n_nationkey"), exact, one, none, none),
         _edge(table(spark, d, "customer"), of("nation", "c_nationkey"), of("customer", "c_custkey"), "contains", c("c_custkey"), exact, one, none, none),
         _edge(table(spark, d, "supplier"), of("nation", "s_nationkey"), of("supplier", "s_suppkey"), "contains", c("s_suppkey"), exact, one, none, none),
-        _edge(table(spark, d, "orders"), of("customer", "o_custkey"), of("order", "o_orderkey"), "calls", c("o_orderkey"), status, F.lit(0.85), F.lit("call"), none),
+        _edge(spread(table(spark, d, "orders")), of("customer", "o_custkey"), of("order", "o_orderkey"), "calls", c("o_orderkey"), status, F.lit(0.85), F.lit("call"), none),
         _edge(lines, of("order", "l_orderkey"), of("part", "l_partkey"), "references", c("l_linenumber"), by_flag, F.round(1 - c("l_discount"), 2), rw, none),
         _edge(lines, of("supplier", "l_suppkey"), of("part", "l_partkey"), "calls", c("l_linenumber"), by_flag, F.round(1 - c("l_discount"), 2), F.lit("call"), dynamic),
     ]
