@@ -1,21 +1,18 @@
-"""SimHash near-duplicates with a Gray-order hierarchical index.
+"""SimHash near-duplicates with an exact Gray-order hierarchical index.
 
 A text's features are its distinct lower-cased words; each is hashed to 128 bits, and a fingerprint bit is set
 where more than half of the words have it set. Two fingerprints are near when they differ in at most ``K`` bits
 (``K_SMALL`` where either stands for fewer than ``SMALL`` words, whose fingerprints scatter more). Documents with equal
 or near fingerprints, directly or through others, form a group.
 
-Index. The bits are cut into 16 bytes in two ways, the second half a byte further on. Agreement in byte i is the uppermost node
-(a masked bit pattern shared by all below it); the shuffle sends
-every distinct fingerprint to its 15 such nodes of each way (the last byte has none after it), so no comparison ever leaves a
-partition. Inside a node the
-members are in Gray rank; agreement in a later byte j is the next level, and a large run below it becomes a
-tree of Gray neighbours whose nodes hold the bits all members share. A search adds up the differences on those
-masked bits and drops a whole group once they exceed ``K``. Runs of copies are walked as connected
-components, each member compared only with those not yet reached, so thousands of copies cost little more than
-their number, and a node hands on a spanning star rather than all its pairs. Two fingerprints meet if they agree in two
-bytes of either way: always within 14 bits, and for ``K`` scattered bits about 99 times of 100 (README has measured figures);
-a pair that never meets is still joined through others of its group.
+Index. The search is exact: no pair within its radius is left out. The bits are cut into BLOCKS blocks, and a near pair has a
+block in which it differs in 2 bits at most (3 in the last), and in the half of the code from there on, going round, in 11 or 12
+(``block_radius``). The fingerprints are dealt into shares by hash, and each two shares meet in one task, so nothing depends on how
+they are spread. There the members are in Gray rank; those that agree in a block form a node, which is compared with the nodes whose
+block lies within its radius, first by that half of the code and then by all of it. A run of many near members becomes a tree of Gray
+neighbours whose nodes hold the bits all members share: a search adds up the differences on those masked bits and drops a whole group
+once they exceed ``K``, and each member is compared only with those not yet reached. What is already of one group is not compared
+again, so thousands of copies cost little more than their number, and a task hands on a spanning star rather than all its pairs.
 
 Defined cases: a null text, or one without a word, has no fingerprint and is never a duplicate; exact copies and
 repeated rows share a fingerprint and form a group; the row kept is the one with the least ``doc_id`` (nulls
@@ -32,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,13 +40,18 @@ from graphloom.llm.common import components, cut
 K = 24
 #: The same for texts of fewer than SMALL distinct words.
 K_SMALL, SMALL = 18, 32
-#: Members from which a run is searched by the tree.
+#: Cuts of a fingerprint, of so many bits each.
+BLOCKS, BLOCK_BITS = 8, 16
+#: Members from which a run may be searched by the tree, and near ones each of them then has on average.
 LARGE_RUN = 64
 #: Gray neighbours below one lowest node of the tree.
 LEAF = 16
-#: Members up to which nodes of one byte are searched in one go.
+#: Members up to which all pairs of a node are compared.
 TOGETHER = 1 << 15
-_PAIRS_AT_ONCE = 1 << 20
+#: Fingerprints in a share; each two shares meet in one task, or in one for some of the blocks while these are fewer than NODES.
+SHARE, NODES = 1 << 20, 20
+#: Pairs and rows compared at once, which fit the processor's cache, and pairs held for the second half of the comparison.
+_PAIRS_AT_ONCE, _ROWS, _HELD = 1 << 15, 32, 1 << 16
 _WORD = re.compile(r"\w+")
 
 
@@ -134,122 +136,224 @@ def _run_links(words: np.ndarray, radius: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _pairs_in_runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of positions inside the runs [start, end), some at a time."""
-    sizes = ends - starts
-    first = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    more = np.repeat(ends, sizes) - 1 - first
-    total = np.cumsum(more)
-    at = 0
-    while at < len(first):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS_AT_ONCE)))
-        m = more[at:stop]
-        a = np.repeat(first[at:stop], m)
-        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-        at = stop
+def block_radius(block: int) -> int:
+    """Bits by which near fingerprints may differ in ``block``: these and one each add up to K + 1.
 
+    So no near pair exceeds all of them; and as the differences less these and one each add up to less than nothing, a near pair
+    has a block from which on, going round, every sum of them is below nothing. The search asks this of that block and of the
+    half of the code that begins with it.
+    """
+    return (K + 1) // BLOCKS - 1 + (block >= BLOCKS - (K + 1) % BLOCKS)
 
-def _find(parent: list[int], x: int) -> int:
+
+def half_from(words: np.ndarray, block: int) -> np.ndarray:
+    """The 64 bits of each code that begin with ``block``, going round."""
+    shift = block % (BLOCKS // 2) * BLOCK_BITS
+    a, b = (words[:, 0], words[:, 1]) if block < BLOCKS // 2 else (words[:, 1], words[:, 0])
+    return a << np.uint64(shift) | b >> np.uint64(64 - shift) if shift else np.ascontiguousarray(a)
+
+
+class _Node:
+    """Codes in Gray order, the groups found among them, and the comparison of some with others."""
+
+    def __init__(self, words: np.ndarray, radius: np.ndarray):
+        self.words, self.radius, self.parent = words, radius.astype(np.uint8), np.arange(len(words))
+        self.halves = [np.ascontiguousarray(words[:, i]) for i in (0, 1)]
+        self.half, self.limit = self.halves[0], K
+        self.room = [np.empty(_PAIRS_AT_ONCE, dtype=kind) for kind in (np.uint64, np.uint8, np.bool_)]
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.holds = 0
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        root = self.parent[at]
+        while True:
+            up = self.parent[root]
+            if (up == root).all():
+                return root
+            root = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.roots(a), self.roots(b)
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            _, first = np.unique(y, return_index=True)  # one link of each group at a time
+            for i, j in zip(x[first].tolist(), y[first].tolist()):
+                i, j = _find(self.parent, i), _find(self.parent, j)
+                if i != j:
+                    self.parent[max(i, j)] = min(i, j)
+
+    def walk(self, run: np.ndarray) -> None:
+        """Join the groups of a run, in Gray order, by the tree if its members have many near ones, going by some of them."""
+        if len(run) < LARGE_RUN:
+            return
+        some = run[:: max(1, len(run) // LARGE_RUN)][:LARGE_RUN]
+        apart = np.bitwise_count(self.words[some][:, None] ^ self.words[run]).sum(axis=2)
+        near = apart <= np.minimum(self.radius[some][:, None], self.radius[run])
+        if near.sum() - len(some) >= LARGE_RUN * len(some):
+            links = np.array(_run_links(self.words[run], self.radius[run]), dtype=np.int64).reshape(-1, 2)
+            self.join(run[links[:, 0]], run[links[:, 1]])
+
+    def settle(self) -> None:
+        """Join those of the held pairs that are near."""
+        if self.held:
+            a, b = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.holds = [], 0
+            apart = np.bitwise_count(self.halves[0][a] ^ self.halves[0][b]) + np.bitwise_count(self.halves[1][a] ^ self.halves[1][b])
+            close = apart <= np.minimum(self.radius[a], self.radius[b])
+            self.join(a[close], b[close])
+
+    def tile(self, rows: np.ndarray, others: np.ndarray) -> None:
+        """Hold the pairs within the limit of the half now looked at."""
+        shape = len(rows), len(others)
+        bits, apart, near = (x[: shape[0] * shape[1]].reshape(shape) for x in self.room)
+        np.bitwise_xor(self.half[rows][:, None], self.half[others], out=bits)
+        np.less_equal(np.bitwise_count(bits, out=apart), self.limit, out=near)
+        hit = near.ravel().nonzero()[0]
+        if len(hit):
+            row, column = np.divmod(hit, len(others))
+            self.held.append((rows[row], others[column]))
+            self.holds += len(hit)
+            if self.holds > _HELD:
+                self.settle()
+
+    def compare(self, rows: np.ndarray, others: np.ndarray) -> None:
+        """All of ``rows`` with all of ``others``; of many rows, what is of one group is not compared again."""
+        if len(rows) * len(others) <= _PAIRS_AT_ONCE:
+            self.tile(rows, others)
+            return
+        alike, many = rows is others, len(rows) >= LARGE_RUN
+        if many:
+            rows = rows[np.argsort(self.roots(rows), kind="stable")]
+            others = rows if alike else others
+        for at in range(0, len(rows), _ROWS):
+            some, rest = rows[at : at + _ROWS], others[at:] if alike else others
+            if many:
+                root = self.roots(some)
+                if (root == root[0]).all():
+                    rest = rest[self.roots(rest) != root[0]]
+            for start in range(0, len(rest), _PAIRS_AT_ONCE // _ROWS):
+                self.tile(some, rest[start : start + _PAIRS_AT_ONCE // _ROWS])
+
+    def search(self, block: int, values: np.ndarray, left: np.ndarray | None, right: np.ndarray | None) -> None:
+        """Join the near pairs that differ in at most ``block_radius`` bits of ``values``: of members of ``left`` and ``right``, or of all."""
+        order = np.argsort(values, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0, True])
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if e - s >= LARGE_RUN:
+                self.walk(order[s:e])
+        mine = order if left is None else order[left[order]]
+        theirs = order if right is None else order[right[order]]
+        if not len(mine) or not len(theirs):
+            return
+        starts = np.searchsorted(values[theirs], np.arange((1 << BLOCK_BITS) + 1))
+        counts = np.diff(starts)
+        masks = np.arange(1 << BLOCK_BITS)
+        masks = masks[np.bitwise_count(masks) <= block_radius(block)]
+        self.half, self.limit = half_from(self.words, block), sum(block_radius(j % BLOCKS) + 1 for j in range(block, block + BLOCKS // 2)) - 1
+        cuts = np.flatnonzero(np.r_[True, np.diff(values[mine]) != 0, True])
+        for s, e, value in zip(cuts[:-1].tolist(), cuts[1:].tolist(), values[mine[cuts[:-1]]].tolist()):
+            near = masks ^ value
+            if left is None:
+                near = near[near >= value]
+            sizes = counts[near]
+            ends = np.cumsum(sizes)
+            if ends[-1]:
+                self.compare(mine[s:e], theirs[np.repeat(starts[near] - ends + sizes, sizes) + np.arange(ends[-1])])
+
+
+def _find(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
-        x = parent[x]
+        x = int(parent[x])
     return x
 
 
-def half_byte_on(codes: np.ndarray) -> np.ndarray:
-    """The 16 bytes of each code after a rotation by four bits."""
-    return codes[:, :16] << 4 | np.roll(codes[:, :16], -1, axis=1) >> 4
-
+def node_links(codes: np.ndarray, *blocks: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(member, star centre) of the groups among (n, 17) codes, by the near pairs that agree well enough in one of ``blocks``.
 
-def node_links(codes: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of one or more nodes of ``byte`` (from 16 on: the bytes half a byte further on), (n, 17) distinct codes: (member, star centre) of the groups in them."""
-    n = len(codes)
+    With ``side``, pairs of different sides are sure to be joined, others need not be.
+    """
     words = np.ascontiguousarray(codes[:, :16]).view(">u8").astype(np.uint64)
     rank = gray_rank(words)
     order = np.lexsort((rank[:, 1], rank[:, 0]))
     codes, words = codes[order], words[order]
-    radius = codes[:, 16]
-    parent: list[int] | None = None
-    cut_up, byte = (codes, byte) if byte < 16 else (half_byte_on(codes), byte - 16)
-    for j in range(byte + 1, 16):
-        column = cut_up[:, byte].astype(np.uint16) << 8 | cut_up[:, j]
-        by = np.argsort(column, kind="stable")
-        column = column[by]
-        starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
-        ends = np.r_[starts[1:], n]
-        sizes = ends - starts
-        links: list[tuple[int, int]] = []
-        small = (sizes > 1) & (sizes < LARGE_RUN)
-        if small.any():
-            for a, b in _pairs_in_runs(starts[small], ends[small]):
-                a, b = by[a], by[b]
-                so_far = np.bitwise_count(words[a, 0] ^ words[b, 0])
-                limit = np.minimum(radius[a], radius[b])
-                near = so_far <= limit
-                a, b, limit = a[near], b[near], limit[near]
-                near = so_far[near] + np.bitwise_count(words[a, 1] ^ words[b, 1]) <= limit
-                links += zip(a[near].tolist(), b[near].tolist())
-        for s, e in zip(starts[sizes >= LARGE_RUN], ends[sizes >= LARGE_RUN]):
-            members = by[s:e]
-            links += [(int(members[x]), int(members[y])) for x, y in _run_links(words[members], radius[members])]
-        if links:
-            parent = list(range(n)) if parent is None else parent
-            for x, y in links:
-                x, y = _find(parent, x), _find(parent, y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    if parent is None:
-        return codes[:0], codes[:0]
-    roots = np.array([_find(parent, x) for x in range(n)])
-    moved = np.flatnonzero(roots != np.arange(n))
+    node = _Node(words, codes[:, 16])
+    left, right = (None, None) if side is None else (side[order] == 0, side[order] == 1)
+    if len(codes) <= TOGETHER:  # all pairs, as one run
+        every = np.arange(len(codes))
+        node.walk(every)
+        node.limit = K // 2  # which one of the halves keeps to
+        for node.half in node.halves:
+            node.compare(*(every, every) if side is None else (every[left], every[right]))
+    else:
+        for block in blocks:
+            values = codes[:, 2 * block].astype(np.int64) << 8 | codes[:, 2 * block + 1]
+            node.search(block, values, left, right)
+    node.settle()
+    roots = node.roots(np.arange(len(codes)))
+    moved = np.flatnonzero(roots != np.arange(len(codes)))
     return codes[moved], codes[roots[moved]]
 
 
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (byte, value): nodes are searched, small ones together, once all of them have come."""
+def _search(parts: int):
+    """A function of batches sorted by (node, side): a node is searched once all of it has come."""
 
-    def out(rows: list[np.ndarray], byte: int) -> Iterator[pa.RecordBatch]:
-        codes = np.concatenate(rows) if len(rows) > 1 else rows[0]
+    def out(rows: list[np.ndarray], sides: list[int], node: int) -> Iterator[pa.RecordBatch]:
+        codes, side = np.concatenate(rows), np.repeat(sides, [len(x) for x in rows])
         if len(codes) > 1:
-            a, b = node_links(codes, byte)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in y], pa.binary()) for y in (a, b)], schema=_LINKS)
-
-    held: list[np.ndarray] = []
-    key, size = -1, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 17)
-        cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            if held and keys[s] != key and (size >= TOGETHER or int(keys[s]) >> 8 != key >> 8):
-                yield from out(held, key >> 8)
-                held, size = [], 0
-            key = int(keys[s])
-            held.append(codes[s:e])
-            size += e - s
-    if held:
-        yield from out(held, key >> 8)
+            blocks = range(node % parts, BLOCKS, parts)
+            a, b = node_links(codes, *blocks, side=None if (side == 2).all() else side)
+            for at in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in y[at : at + (1 << 16)]], pa.binary()) for y in (a, b)], schema=_LINKS)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        sides: list[int] = []
+        node = -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 17)
+            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if held and keys[s] >> 2 != node:
+                    yield from out(held, sides, node)
+                    held, sides = [], []
+                node = int(keys[s]) >> 2
+                held.append(codes[s:e])
+                sides.append(int(keys[s]) & 3)
+        if held:
+            yield from out(held, sides, node)
+
+    return search
 
 
 def near_links(fingerprints: DataFrame) -> DataFrame:
     """(a, b) links whose connected components are the groups of the distinct fingerprints in column ``fp``."""
-    digits = F.substring(F.hex("fp"), 1, 32)
-    both = F.concat(digits, F.substring(digits, 2, 31), F.substring(digits, 1, 1))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring("both", i * 2 + 1, 2), 16, 10).cast("int"))
+    n = fingerprints.count()
+    share = max(1, -(-n // SHARE))
+    parts = 1
+    while n > TOGETHER and parts < BLOCKS and share * (share + 1) // 2 * parts < NODES:
+        parts *= 2
+
+    def key(i: Column) -> Column:
+        """The node of this share and another, for one part of the blocks; below it 0 or 1 for the side, 2 if the two are one."""
+        other = F.shiftright(i, parts.bit_length() - 1)
+        node = (F.least("own", other) * share + F.greatest("own", other)) * parts + i % parts
+        return node * 4 + F.when(F.col("own") == other, 2).otherwise((F.col("own") > other).cast("int"))
+
+    keys = F.transform(F.sequence(F.lit(0), F.lit(share * parts - 1)), key)
     return (
-        fingerprints.select("fp", both.alias("both"))
-        .select("fp", F.posexplode(bytes_).alias("byte", "value"))
-        .filter("byte % 16 < 15")
-        .select((F.col("byte") * 256 + F.col("value")).alias("node"), "fp")
-        .repartition("node")
-        .sortWithinPartitions("node")
-        .mapInArrow(_search, "a binary, b binary")
+        fingerprints.select("fp", F.pmod(F.xxhash64("fp"), F.lit(share)).cast("int").alias("own"))
+        .select(F.explode(keys).alias("key"), "fp")
+        .repartitionById(share * share * parts, F.shiftright("key", 2))
+        .sortWithinPartitions("key")
+        .mapInArrow(_search(parts), "a binary, b binary")
     )
 
 

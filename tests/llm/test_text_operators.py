@@ -101,6 +101,66 @@ def test_pairs_that_meet(spark):
         assert sum(frozenset(p) in linked for p in pairs) >= least * 400
 
 
+def pairs_apart(bits, n, seed):
+    """n pairs of random codes that differ in so many scattered bits."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2, (n, 128), dtype=np.uint8)
+    b = a ^ (rng.random((n, 128)).argsort(axis=1) < bits)
+    return [np.concatenate([np.packbits(x, axis=1), np.full((n, 1), simhash.K, np.uint8)], axis=1) for x in (a, b)]
+
+
+def test_no_near_pair_is_left_out(spark, monkeypatch):
+    """Pairs K bits apart are all linked, within a share and between two; more bits are not."""
+    import numpy as np
+
+    def linked(a, b, links):
+        found = {frozenset((bytes(x), bytes(y))) for x, y in links}
+        return sum(frozenset((x.tobytes(), y.tobytes())) in found for x, y in zip(a, b))
+
+    a, b = pairs_apart(simhash.K, 1500, 6)
+    frame = spark.createDataFrame([(x.tobytes(),) for x in np.concatenate([a, b])], "fp binary")
+    for share in (simhash.SHARE, 500):
+        monkeypatch.setattr(simhash, "SHARE", share)
+        assert linked(a, b, simhash.near_links(frame).collect()) == 1500
+    monkeypatch.setattr(simhash, "TOGETHER", 0)
+    for side in (None, np.repeat([0, 1], 1500)):
+        codes = np.concatenate([a, b])
+        assert linked(a, b, zip(*simhash.node_links(codes, *range(simhash.BLOCKS), side=side))) == 1500
+    far = np.concatenate(pairs_apart(simhash.K + 1, 1500, 7))
+    assert len(simhash.node_links(far, *range(simhash.BLOCKS))[0]) == 0
+
+
+def test_groups_by_blocks_equal_all_pairs(monkeypatch):
+    """Clusters of many near codes, among others, by the tree, by tiles and by all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (300, 16), dtype=np.uint8)
+    codes = base[np.r_[np.zeros(900, int), np.ones(500, int), rng.integers(2, 300, 1600)]] ^ np.packbits(rng.random((3000, 128)) < rng.uniform(0.01, 0.1, (3000, 1)), axis=1)
+    codes = np.unique(np.concatenate([codes, rng.choice([simhash.K, simhash.K_SMALL], (3000, 1)).astype(np.uint8)], axis=1), axis=0)
+    words = np.ascontiguousarray(codes[:, :16]).view(">u8").astype(np.uint64)
+    near = np.bitwise_count(words[:, None] ^ words).sum(axis=2) <= np.minimum(codes[:, None, 16], codes[:, 16])
+    left = list(range(len(codes)))
+    want = set()
+    while left:
+        group, new = set(), {left[0]}
+        while new:
+            group |= new
+            new = set(np.flatnonzero(near[list(new)].any(axis=0)).tolist()) - group
+        left = [x for x in left if x not in group]
+        if len(group) > 1:
+            want.add(frozenset(codes[x].tobytes() for x in group))
+    for together, large in ((1 << 15, 64), (0, 64), (0, 8), (0, 1 << 30)):
+        monkeypatch.setattr(simhash, "TOGETHER", together)
+        monkeypatch.setattr(simhash, "LARGE_RUN", large)
+        groups = {}
+        for member, root in zip(*simhash.node_links(codes, *range(simhash.BLOCKS))):
+            groups.setdefault(root.tobytes(), {root.tobytes()}).add(member.tobytes())
+        assert {frozenset(g) for g in groups.values()} == want
+
+
 CLASH = ", id int, none int, th int, stays int, turn int, row string, tox string, score double, _mix_src string, _mix_key string, times int, copy int, _llm_tox int"
 CLASHING = (1, 2, 3, 4, 5, "r", "t", 6.0, "s", "k", 7, 8, 9)
 
