@@ -161,6 +161,15 @@ def test_groups_by_blocks_equal_all_pairs(monkeypatch):
         assert {frozenset(g) for g in groups.values()} == want
 
 
+def test_a_large_run_without_near_members_is_searched_fast():
+    import numpy as np
+
+    codes = np.concatenate([np.random.default_rng(3).integers(0, 256, (8000, 16), dtype=np.uint8), np.full((8000, 1), simhash.K, np.uint8)], axis=1)
+    codes[:, 0], codes[:, 1] = 7, 9
+    began = time.process_time()
+    assert len(simhash.node_links(codes, 0)[0]) == 0 and time.process_time() - began < 3
+
+
 CLASH = ", id int, none int, th int, stays int, turn int, row string, tox string, score double, _mix_src string, _mix_key string, times int, copy int, _llm_tox int"
 CLASHING = (1, 2, 3, 4, 5, "r", "t", 6.0, "s", "k", 7, 8, 9)
 
