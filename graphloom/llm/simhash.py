@@ -7,8 +7,8 @@ or near fingerprints, directly or through others, form a group.
 
 Index. The search is exact: no pair within its radius is left out. The bits are cut into BLOCKS blocks, and a near pair has a
 block in which it differs in 2 bits at most (3 in the last), and in the half of the code from there on, going round, in 11 or 12
-(``block_radius``). The fingerprints are dealt into shares by hash, and each two shares meet in one task, so nothing depends on how
-they are spread. There the members are in Gray rank; those that agree in a block form a node, which is compared with the nodes whose
+(``block_radius``). Up to SHARE fingerprints each task holds all of them and searches for some of the values of each block, dealt out from the
+most frequent; more are dealt into shares by hash, each two of which meet in a task. There the members are in Gray rank; those that agree in a block form a node, which is compared with the nodes whose
 block lies within its radius, first by that half of the code and then by all of it. A run of many near members becomes a tree of Gray
 neighbours whose nodes hold the bits all members share: a search adds up the differences on those masked bits and drops a whole group
 once they exceed ``K``, and each member is compared only with those not yet reached. What is already of one group is not compared
@@ -23,12 +23,14 @@ an empty table; extra columns of any name are carried along untouched.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,40 +50,126 @@ LARGE_RUN = 64
 LEAF = 16
 #: Members up to which all pairs of a node are compared.
 TOGETHER = 1 << 15
-#: Fingerprints in a share; each two shares meet in one task, or in one for some of the blocks while these are fewer than NODES.
-SHARE, NODES = 1 << 20, 20
+#: Fingerprints up to which a task takes all, else two shares of them, each two of which meet; NODES tasks at least, for parts of the values.
+SHARE, NODES = 3 << 20, 12
 #: Pairs and rows compared at once, which fit the processor's cache, and pairs held for the second half of the comparison.
-_PAIRS_AT_ONCE, _ROWS, _HELD = 1 << 15, 32, 1 << 16
-_WORD = re.compile(r"\w+")
-
-
-def _memo_hash(word: str, memo: dict[str, bytes]) -> bytes:
-    d = memo.get(word)
-    if d is None:
-        if len(memo) > 300_000:
-            memo.clear()
-        d = memo[word] = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-    return d
-
-
-def fingerprint(text: str | None, memo: dict[str, bytes] | None = None) -> bytes | None:
-    """16 bytes of SimHash and one with the radius within which others are near."""
-    words = set(_WORD.findall(text.lower())) if text else ()
-    if not words:
-        return None
-    memo = {} if memo is None else memo
-    raw = np.frombuffer(b"".join([_memo_hash(w, memo) for w in words]), dtype=np.uint8).reshape(-1, 16)
-    n, counts = len(raw), np.zeros(128, dtype=np.int64)
-    for at in range(0, n, 255):  # sums of up to 255 bits fit a byte
-        counts += np.unpackbits(raw[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > n).tobytes() + bytes([K if n >= SMALL else K_SMALL])
+_PAIRS_AT_ONCE, _ROWS, _HELD = 1 << 16, 32, 1 << 16
+#: Characters of texts whose words are read together.
+_CHARS_AT_ONCE = 1 << 21
+#: Words hashed together, so that the state of them all fits the processor's cache.
+_HASHED_AT_ONCE = 1 << 12
+_OTHER = re.compile(r"\W+")
+#: ASCII of other characters than those of words to spaces; bytes of longer characters stay.
+_SPACES = bytes(c if c > 127 or c == 95 or chr(c).isalnum() else 32 for c in range(256))
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_TURNS = [turns[i % 4] for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for i in range(16)]
+
+
+def md5_rows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """MD5 of byte strings in ``data``, 16 bytes each; those that fit one block of it side by side."""
+    out = np.empty((len(starts), 16), dtype=np.uint8)
+    for i in np.flatnonzero(sizes > 55).tolist():
+        out[i] = np.frombuffer(hashlib.md5(data[starts[i] : starts[i] + sizes[i]].tobytes(), usedforsecurity=False).digest(), dtype=np.uint8)
+    short = np.flatnonzero(sizes <= 55)
+    for at in range(0, len(short), _HASHED_AT_ONCE):
+        some = short[at : at + _HASHED_AT_ONCE]
+        n, size = len(some), sizes[some]
+        block = np.zeros((n, 64), dtype=np.uint8)
+        column = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        block[np.repeat(np.arange(n), size), column] = data[np.repeat(starts[some], size) + column]
+        block[np.arange(n), size] = 0x80
+        words = np.ascontiguousarray(block.view("<u4").T, dtype=np.uint32)
+        words[14] = size * 8
+        used = words.any(axis=1).tolist()
+        first = [np.full(n, x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        a, b, c, d = (x.copy() for x in first)
+        f, spare = np.empty(n, dtype=np.uint32), np.empty(n, dtype=np.uint32)
+        for i in range(64):
+            if i < 16:
+                g = i
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif i < 32:
+                g = (5 * i + 1) % 16
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif i < 48:
+                g = (3 * i + 5) % 16
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                g = 7 * i % 16
+                np.bitwise_not(d, out=f)
+                f |= b
+                f ^= c
+            f += a
+            f += _SINES[i]
+            if used[g]:
+                f += words[g]
+            np.left_shift(f, np.uint32(_TURNS[i]), out=spare)
+            f >>= np.uint32(32 - _TURNS[i])
+            f |= spare
+            f += b
+            a, b, c, d, f = d, f, b, c, a
+        out[some] = np.stack([x + y for x, y in zip((a, b, c, d), first)], axis=1).astype("<u4").view(np.uint8)
+    return out
+
+
+def _spaced(text: str) -> bytes:
+    """The lower-cased text with a space for whatever is not of a word."""
+    text = text.lower()
+    if not text.isascii():
+        other = [c for c in set(text) if c > "\x7f" and not c.isalnum()]
+        if len(other) > 16:
+            text = _OTHER.sub(" ", text)
+        else:
+            for c in other:
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_SPACES).strip()
+
+
+def fingerprints(texts: list[str | None]) -> list[bytes | None]:
+    """16 bytes of SimHash of each text and one with the radius within which others are near."""
+    out: list[bytes | None] = [None] * len(texts)
+    at = 0
+    while at < len(texts):
+        own, spaced, size = [], [], 0
+        while at < len(texts) and size < _CHARS_AT_ONCE:
+            if texts[at]:
+                size += len(texts[at])
+                if line := _spaced(texts[at]):
+                    own.append(at)
+                    spaced.append(line)
+            at += 1
+        if not own:
+            continue
+        lists = pa.compute.ascii_split_whitespace(pa.array(spaced, pa.large_binary()).view(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+        hashes = md5_rows(np.frombuffer(words.buffers()[2], dtype=np.uint8), ends[:-1], np.diff(ends))
+        keys = np.repeat(np.arange(len(own)) * len(words), np.diff(lists.offsets.to_numpy())) + coded.indices.to_numpy()
+        keys.sort()
+        text, word = np.divmod(keys[np.r_[True, keys[1:] != keys[:-1]]], len(words))
+        cuts = np.searchsorted(text, np.arange(len(own) + 1)).tolist()
+        for i, s, e in zip(own, cuts[:-1], cuts[1:]):
+            counts = np.zeros(128, dtype=np.int64)
+            for a in range(s, e, 255):  # sums of up to 255 bits fit a byte
+                counts += np.add.reduce(np.unpackbits(hashes[word[a : min(e, a + 255)]]).reshape(-1, 128), axis=0, dtype=np.uint8)
+            out[i] = np.packbits(counts * 2 > e - s).tobytes() + bytes([K if e - s >= SMALL else K_SMALL])
+    return out
+
+
+def fingerprint(text: str | None) -> bytes | None:
+    return fingerprints([text])[0]
 
 
 @F.pandas_udf(T.BinaryType())
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    memo: dict[str, bytes] = {}
     for batch in texts:
-        yield pd.Series([fingerprint(t, memo) for t in batch], dtype=object)
+        yield pd.Series(fingerprints(batch.tolist()), dtype=object)
 
 
 def gray_rank(words: np.ndarray) -> np.ndarray:
@@ -160,7 +248,7 @@ class _Node:
         self.words, self.radius, self.parent = words, radius.astype(np.uint8), np.arange(len(words))
         self.halves = [np.ascontiguousarray(words[:, i]) for i in (0, 1)]
         self.half, self.limit = self.halves[0], K
-        self.room = [np.empty(_PAIRS_AT_ONCE, dtype=kind) for kind in (np.uint64, np.uint8, np.bool_)]
+        self.room = [np.empty(_PAIRS_AT_ONCE + 8, dtype=kind) for kind in (np.uint64, np.uint8, np.bool_)]
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.holds = 0
 
@@ -203,63 +291,74 @@ class _Node:
             close = apart <= np.minimum(self.radius[a], self.radius[b])
             self.join(a[close], b[close])
 
-    def tile(self, rows: np.ndarray, others: np.ndarray) -> None:
-        """Hold the pairs within the limit of the half now looked at."""
-        shape = len(rows), len(others)
-        bits, apart, near = (x[: shape[0] * shape[1]].reshape(shape) for x in self.room)
-        np.bitwise_xor(self.half[rows][:, None], self.half[others], out=bits)
+    def tile(self, rows: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Hold the pairs within the limit of the half now looked at, which is ``a`` and ``b``."""
+        size = len(rows) * len(others)
+        bits, apart, near = (x[:size].reshape(len(rows), -1) for x in self.room)
+        np.bitwise_xor(a[:, None], b, out=bits)
         np.less_equal(np.bitwise_count(bits, out=apart), self.limit, out=near)
-        hit = near.ravel().nonzero()[0]
-        if len(hit):
-            row, column = np.divmod(hit, len(others))
+        self.room[2][size : size + 8] = False
+        eights = self.room[2][: size + 7 & -8]
+        some = eights.view(np.uint64).nonzero()[0]  # of eight pairs at once, as few are near
+        if len(some):
+            which, rest = eights.reshape(-1, 8)[some].nonzero()
+            row, column = np.divmod(some[which] * 8 + rest, len(others))
             self.held.append((rows[row], others[column]))
-            self.holds += len(hit)
+            self.holds += len(row)
             if self.holds > _HELD:
                 self.settle()
 
     def compare(self, rows: np.ndarray, others: np.ndarray) -> None:
         """All of ``rows`` with all of ``others``; of many rows, what is of one group is not compared again."""
-        if len(rows) * len(others) <= _PAIRS_AT_ONCE:
-            self.tile(rows, others)
-            return
         alike, many = rows is others, len(rows) >= LARGE_RUN
         if many:
             rows = rows[np.argsort(self.roots(rows), kind="stable")]
             others = rows if alike else others
+        a, b = self.half[rows], self.half[others]
         for at in range(0, len(rows), _ROWS):
-            some, rest = rows[at : at + _ROWS], others[at:] if alike else others
+            some, rest, half = rows[at : at + _ROWS], *((others[at:], b[at:]) if alike else (others, b))
             if many:
                 root = self.roots(some)
                 if (root == root[0]).all():
-                    rest = rest[self.roots(rest) != root[0]]
-            for start in range(0, len(rest), _PAIRS_AT_ONCE // _ROWS):
-                self.tile(some, rest[start : start + _PAIRS_AT_ONCE // _ROWS])
-
-    def search(self, block: int, values: np.ndarray, left: np.ndarray | None, right: np.ndarray | None) -> None:
-        """Join the near pairs that differ in at most ``block_radius`` bits of ``values``: of members of ``left`` and ``right``, or of all."""
+                    apart = self.roots(rest) != root[0]
+                    rest, half = rest[apart], half[apart]
+            step = _PAIRS_AT_ONCE // len(some)
+            for start in range(0, len(rest), step):
+                self.tile(some, rest[start : start + step], a[at : at + _ROWS], half[start : start + step])
+
+    def search(self, block: int, values: np.ndarray, left: np.ndarray | None, right: np.ndarray | None, part: int, parts: int) -> None:
+        """Join the near pairs that differ in at most ``block_radius`` bits of ``values``: of members of ``left`` and ``right``, or of all.
+
+        Of pairs whose first (without ``left``: whose lesser) value falls to this of ``parts``, to which values are dealt from the most frequent.
+        """
+        dealt = np.argsort(-np.bincount(values, minlength=1 << BLOCK_BITS), kind="stable")
+        here = np.zeros(1 << BLOCK_BITS, dtype=bool)
+        here[dealt[part::parts]] = True
         order = np.argsort(values, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0, True])
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            if e - s >= LARGE_RUN:
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if e - s >= LARGE_RUN and here[values[order[s]]]:
                 self.walk(order[s:e])
         mine = order if left is None else order[left[order]]
         theirs = order if right is None else order[right[order]]
         if not len(mine) or not len(theirs):
             return
-        starts = np.searchsorted(values[theirs], np.arange((1 << BLOCK_BITS) + 1))
-        counts = np.diff(starts)
+        counts = np.bincount(values[theirs], minlength=1 << BLOCK_BITS)
+        starts = np.cumsum(counts) - counts
         masks = np.arange(1 << BLOCK_BITS)
         masks = masks[np.bitwise_count(masks) <= block_radius(block)]
         self.half, self.limit = half_from(self.words, block), sum(block_radius(j % BLOCKS) + 1 for j in range(block, block + BLOCKS // 2)) - 1
         cuts = np.flatnonzero(np.r_[True, np.diff(values[mine]) != 0, True])
         for s, e, value in zip(cuts[:-1].tolist(), cuts[1:].tolist(), values[mine[cuts[:-1]]].tolist()):
+            if not here[value]:
+                continue
             near = masks ^ value
             if left is None:
                 near = near[near >= value]
             sizes = counts[near]
-            ends = np.cumsum(sizes)
+            ends = sizes.cumsum()
             if ends[-1]:
-                self.compare(mine[s:e], theirs[np.repeat(starts[near] - ends + sizes, sizes) + np.arange(ends[-1])])
+                self.compare(mine[s:e], theirs[(starts[near] - ends + sizes).repeat(sizes) + np.arange(ends[-1])])
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -269,17 +368,19 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def node_links(codes: np.ndarray, *blocks: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def node_links(codes: np.ndarray, *blocks: int, side: np.ndarray | None = None, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(member, star centre) of the groups among (n, 17) codes, by the near pairs that agree well enough in one of ``blocks``.
 
-    With ``side``, pairs of different sides are sure to be joined, others need not be.
+    With ``side``, pairs of different sides are sure to be joined, others need not be. Of several ``parts``, all together find all pairs.
     """
     words = np.ascontiguousarray(codes[:, :16]).view(">u8").astype(np.uint64)
     rank = gray_rank(words)
     order = np.lexsort((rank[:, 1], rank[:, 0]))
     codes, words = codes[order], words[order]
+    del rank
     node = _Node(words, codes[:, 16])
     left, right = (None, None) if side is None else (side[order] == 0, side[order] == 1)
+    del order, words
     if len(codes) <= TOGETHER:  # all pairs, as one run
         every = np.arange(len(codes))
         node.walk(every)
@@ -288,8 +389,8 @@ def node_links(codes: np.ndarray, *blocks: int, side: np.ndarray | None = None)
             node.compare(*(every, every) if side is None else (every[left], every[right]))
     else:
         for block in blocks:
-            values = codes[:, 2 * block].astype(np.int64) << 8 | codes[:, 2 * block + 1]
-            node.search(block, values, left, right)
+            values = codes[:, 2 * block].astype(np.uint16) << 8 | codes[:, 2 * block + 1]
+            node.search(block, values, left, right, part, parts)
     node.settle()
     roots = node.roots(np.arange(len(codes)))
     moved = np.flatnonzero(roots != np.arange(len(codes)))
@@ -303,10 +404,11 @@ def _search(parts: int):
     """A function of batches sorted by (node, side): a node is searched once all of it has come."""
 
     def out(rows: list[np.ndarray], sides: list[int], node: int) -> Iterator[pa.RecordBatch]:
-        codes, side = np.concatenate(rows), np.repeat(sides, [len(x) for x in rows])
-        if len(codes) > 1:
-            blocks = range(node % parts, BLOCKS, parts)
-            a, b = node_links(codes, *blocks, side=None if (side == 2).all() else side)
+        side = np.repeat(np.array(sides, dtype=np.uint8), [len(x) for x in rows])
+        codes = [np.concatenate(rows)]
+        rows.clear()  # as memory is dear here
+        if len(side) > 1:
+            a, b = node_links(codes.pop(), *range(BLOCKS), side=None if (side == 2).all() else side, part=node % parts, parts=parts)
             for at in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in y[at : at + (1 << 16)]], pa.binary()) for y in (a, b)], schema=_LINKS)
 
@@ -336,14 +438,12 @@ def _search(parts: int):
 def near_links(fingerprints: DataFrame) -> DataFrame:
     """(a, b) links whose connected components are the groups of the distinct fingerprints in column ``fp``."""
     n = fingerprints.count()
-    share = max(1, -(-n // SHARE))
-    parts = 1
-    while n > TOGETHER and parts < BLOCKS and share * (share + 1) // 2 * parts < NODES:
-        parts *= 2
+    share = 1 if n <= SHARE else -(-2 * n // SHARE)
+    parts = 1 if n <= TOGETHER else -(-NODES // (share * (share + 1) // 2))
 
     def key(i: Column) -> Column:
-        """The node of this share and another, for one part of the blocks; below it 0 or 1 for the side, 2 if the two are one."""
-        other = F.shiftright(i, parts.bit_length() - 1)
+        """The node of this share and another, for one part of the values; below it 0 or 1 for the side, 2 if the two are one."""
+        other = (i / parts).cast("int")
         node = (F.least("own", other) * share + F.greatest("own", other)) * parts + i % parts
         return node * 4 + F.when(F.col("own") == other, 2).otherwise((F.col("own") > other).cast("int"))
 
