@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of an id and a number or two up to which a table is broadcast; beyond, it is joined by shuffle.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table that has been cut, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

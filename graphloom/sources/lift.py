@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.classify import CONFIG_PATH, TEST_PATH
 from graphloom.functions.text import node_id
-from graphloom.session import shared_folder, spread
+from graphloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +25,8 @@ def _cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A plan over the tables, not a copy of them: a query reads and hashes the columns that it needs and writes nothing but its result."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
     c, yes = F.col, F.lit(True)
     named = nation.select(c("n_nationkey").alias("k"), "n_name")
@@ -56,7 +54,8 @@ def _edge(df: DataFrame, source: Column, target: Column, kind: str, line: Column
     )
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """A plan as nodes(): each branch is of one kind, so a filter of kinds leaves whole tables unread."""
     c = F.col
     of = lambda t, k: node_id(F.lit(t), c(k).cast("string"))
     none, one = F.lit(None).cast("string"), F.lit(1.0)
@@ -80,37 +79,13 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_LIFTED = "region nation customer supplier part orders lineitem".split()
-_built: dict[tuple, str] = {}
-
-
-def _stamp(spark: SparkSession, d: str) -> tuple:
-    """The state of the files that the lift reads."""
-    jvm = spark._jvm
-    out = []
-    for name in _LIFTED:
-        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        out.append((status.getLen(), status.getModificationTime()))
-    return tuple(out)
-
+def packed(df: DataFrame, *ids: str) -> DataFrame:
+    """Hexadecimal ids as bytes, half as long and in the same order; for plans that shuffle every edge."""
+    return df.withColumns({c: F.unhex(c) for c in ids})
 
-def _index(spark: SparkSession, d: str, name: str, build: Callable[[SparkSession, str], DataFrame], order: str) -> DataFrame:
-    """A table of the graph, written once for each state of its sources to the session's shared folder, as an index is built once."""
-    key = (spark.sparkContext.applicationId, d, name, _stamp(spark, d))
-    if key not in _built:
-        folder = f"{shared_folder(spark)}/lift-{uuid.uuid4().hex}/{name}"
-        build(spark, d).sortWithinPartitions(order).write.parquet(folder)
-        _built[key] = folder
-    return spark.read.parquet(_built[key])
 
-
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d, "nodes", _nodes, "kind")
-
-
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d, "edges", _edges, "kind")
+def unpacked(df: DataFrame, *ids: str) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in ids})
 
 
 def roles(node_table: DataFrame) -> DataFrame:
