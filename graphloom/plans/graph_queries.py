@@ -33,6 +33,10 @@ def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return L.nodes(s, d), L.edges(s, d)
 
 
+def _packed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return L.packed(L.nodes(s, d), "id"), L.packed(L.edges(s, d), "source", "target")
+
+
 def _start(s: SparkSession) -> DataFrame:
     """The node of part 1."""
     return s.createDataFrame([("part::1",)], "k string").select(F.substring(F.sha2("k", 256), 1, 24).alias("id"))
@@ -247,7 +251,7 @@ inc AS (SELECT id, max({_case('provenance', STRENGTH)}) AS best, max({_case('pro
 
 @query(f"{WITH}, {_CENTRAL} SELECT * FROM cen")
 def centrality(s, d):
-    return K.centrality(L.edges(s, d))
+    return L.unpacked(K.centrality(_packed(s, d)[1]), "id")
 
 
 @query(f"{WITH}, {_INCIDENT} SELECT n.id, greatest(0.4, coalesce(best_trust, 0))::DOUBLE AS trust FROM nodes n LEFT JOIN inc ON inc.id = n.id")

@@ -46,3 +46,11 @@ def test_spine_passes_once_over_the_edges_a_round(spark, cut_plans):
     over_edges = [p.count("confidence#") for p in cut_plans if "confidence#" in p]
     assert over_edges and set(over_edges) == {1}
     assert not [p for p in cut_plans if "confidence#" in p and "Exchange hashpartitioning" in p]
+
+
+@needs_tables
+def test_centrality_groups_ids_as_bytes(spark):
+    from graphloom.plans import registry
+
+    found = registry.QUERIES["centrality"](spark, DATA)
+    assert "unhex" in plan(found) and "l_orderkey" not in plan(found) and len(found.first()["id"]) == 24
