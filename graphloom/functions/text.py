@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ STOP_WORDS: tuple[str, ...] = tuple("and const for from function into let return
 
 _CAMEL = (r"([a-z0-9])([A-Z])", r"$1 $2")
 _ACRONYM = (r"([A-Z]+)([A-Z][a-z])", r"$1 $2")
+#: The characters of a regular expression's space class.
+_SPACE = " \t\n\x0b\f\r"
 _BASIC_BREAKS = r"[-._/\\:#]+"
 _WIDE_BREAKS = r"[-._/\\:#<>(){}\[\],;'\"`=+*&|!?~^%$@]+"
 
@@ -123,13 +127,24 @@ def signature(c: Column | str, size: int = 200) -> Column:
     return F.substring(F.trim(F.when(F.instr(c, "{") > 1, F.substring_index(c, "{", 1)).otherwise(F.substring_index(c, "\n", 1))), 1, size)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often and however deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def kept_lines(c: Column | str, start_line: Column | int) -> Column:
+    """(l, n) of the lines of a block that hold more than space, with their numbers."""
+    start = F.lit(start_line) if isinstance(start_line, int) else start_line
+    return F.filter(F.transform(F.split(_col(c), "\n"), lambda l, i: F.struct(l.alias("l"), (i + start).alias("n"))), lambda x: x["l"].rlike(r"\S"))
+
+
 def minify_block(c: Column | str, start_line: Column | int) -> Column:
     """Numbered lines of a block without blank lines, trailing space and common indentation."""
-    start = F.lit(start_line) if isinstance(start_line, int) else start_line
-    lines = F.split(_col(c), "\n")
-    numbered = F.filter(F.transform(lines, lambda l, i: F.struct(l.alias("l"), (i + start).alias("n"))), lambda x: F.regexp_replace(x["l"], r"^\s+|\s+$", "") != "")
-    indent = F.array_min(F.transform(numbered, lambda x: F.char_length(F.regexp_extract(x["l"], r"^[ \t]*", 0))))
-    return F.array_join(F.transform(numbered, lambda x: F.concat(F.lpad(x["n"].cast("string"), F.greatest(F.lit(5), F.char_length(x["n"].cast("string"))), F.lit(" ")), F.lit("  "), F.regexp_replace(F.substring(x["l"], indent + 1, F.char_length(x["l"])), r"\s+$", ""))), "\n")
+    lead = lambda x: F.char_length(x["l"]) - F.char_length(F.ltrim(x["l"], F.lit(" \t")))
+    number = lambda x: F.lpad(x["n"].cast("string"), F.greatest(F.lit(5), F.char_length(x["n"].cast("string"))), F.lit(" "))
+    line = lambda x, indent: F.concat(number(x), F.lit("  "), F.rtrim(F.substring(x["l"], indent + 1, F.char_length(x["l"])), F.lit(_SPACE)))
+    joined = lambda kept: _let(F.array_min(F.transform(kept, lead)), lambda indent: F.array_join(F.transform(kept, lambda x: line(x, indent)), "\n"))
+    return _let(kept_lines(c, start_line), joined)
 
 
 def round_half_up(c: Column, digits: int) -> Column:

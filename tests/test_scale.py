@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 import pytest
 
+from graphloom.functions import text as X
 from graphloom.operators import graph as G
 from graphloom.schema import EDGES, NODES
 from graphloom.sources import lift as L
@@ -61,3 +63,10 @@ def test_impact_shuffles_no_edges_from_the_first_round_on(spark, cut_plans):
     found = G.impact(nodes, edges, start)
     assert cut_plans and not [p for p in cut_plans if "SortMergeJoin" in p]
     assert "SortMergeJoin" not in plan(found) and found.count() > 3
+
+
+def test_minified_blocks_take_time_in_proportion_to_their_lines(spark):
+    rows = spark.createDataFrame([("\n".join(f"    line {i}  " for i in range(6000)),)], "t string")
+    began = time.monotonic()
+    block = rows.select(X.minify_block("t", 1).alias("b")).first()["b"].split("\n")
+    assert time.monotonic() - began < 10 and len(block) == 6000 and block[-1] == " 6000  line 5999"
