@@ -212,11 +212,8 @@ def script_edges(s, d):
     number, size = F.col("doc_id").cast("string"), F.coalesce(F.char_length("text"), F.lit(0)).cast("string")
     text = F.replace(F.replace(F.replace(F.replace(F.lit(_SCRIPT), F.lit("{0}"), number), F.lit("{1}"), size), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
     files = L.table(s, d, "documents").select(F.concat(F.lit("scripts/"), number, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("text"))
-    rows = extract.extract_files(files.repartition("path"))
-    name = rows.filter("what = 'node'").select("path", "id", "qualified_name")
-    edges = rows.filter("what = 'edge' and kind <> 'contains'").select("path", "source", "target", "read_write", "provenance", "line")
-    ends = lambda df, c: df.join(name.select("path", F.col("id").alias(c), F.col("qualified_name").alias(f"{c}_name")), ["path", c])
-    return ends(ends(edges, "source"), "target").select("path", F.col("source_name").alias("source"), F.col("target_name").alias("target"), "read_write", "provenance", "line")
+    tasks = max(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism)  # given, as the texts are small for the time that they take
+    return extract.named_edges(files.repartition(tasks, "path")).filter("kind <> 'contains'").select("path", "source", "target", "read_write", "provenance", "line")
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[:20], chr(10)), '@generated|DO NOT EDIT') THEN 'generated' WHEN lang = 'fr' THEN 'test'

@@ -78,3 +78,19 @@ def test_a_block_is_worked_out_once(spark, name):
     from graphloom.plans import registry
 
     assert plan(registry.QUERIES[name](spark, DATA)).count("filter(transform(split(") <= 1
+
+
+@needs_tables
+def test_scripts_are_read_once(spark):
+    from graphloom.plans import registry
+
+    found = plan(registry.QUERIES["script_edges"](spark, DATA))
+    assert found.count("MapInArrow") == 1 and "Join" not in found
+
+
+def test_named_edges_keep_files_apart(spark):
+    from graphloom.sources import extract
+
+    files = spark.createDataFrame([(f"f{i}.ts", "typescript", "function a() { return b() }\nfunction b() { return 1 }") for i in range(3)], "path string, language string, text string")
+    calls = extract.named_edges(files).filter("kind = 'calls'").select("path", "source", "target", "line").collect()
+    assert sorted(tuple(r) for r in calls) == [(f"f{i}.ts", "a", "b", 1) for i in range(3)]
