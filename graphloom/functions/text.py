@@ -51,13 +51,23 @@ def basic_tokens(c: Column | str) -> Column:
     return _words(spaced)
 
 
-def split_identifier(c: Column | str) -> Column:
-    """Lower-case words, acronyms split from the word after them, stop words dropped."""
+def _spaced(c: Column | str) -> Column:
     x = F.coalesce(_col(c), F.lit(""))
     for pattern, by in (_CAMEL, _ACRONYM):
         x = F.regexp_replace(x, pattern, by)
+    return F.regexp_replace(x, _WIDE_BREAKS, " ")
+
+
+def split_identifier(c: Column | str) -> Column:
+    """Lower-case words, acronyms split from the word after them, stop words dropped."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(_words(F.regexp_replace(x, _WIDE_BREAKS, " ")), lambda t: ~F.array_contains(stop, t))
+    return F.filter(_words(_spaced(c)), lambda t: ~F.array_contains(stop, t))
+
+
+def distinct_words(c: Column | str) -> Column:
+    """The distinct words of split_identifier by first appearance; the set operation is compiled, the lambda sees each word once."""
+    words = F.array_except(F.split(F.lower(_spaced(c)), r"\s+"), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.filter(words, lambda t: F.char_length(t) > 1)
 
 
 def expand_synonyms(tokens: Column) -> Column:
@@ -69,7 +79,7 @@ def expand_synonyms(tokens: Column) -> Column:
 
 def doc_tokens(c: Column | str) -> Column:
     """The terms under which a text is found; each occurs once."""
-    return expand_synonyms(split_identifier(c))
+    return expand_synonyms(distinct_words(c))
 
 
 def node_id(file: Column | str, name: Column | str) -> Column:

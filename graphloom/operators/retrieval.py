@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import basic_tokens, doc_tokens, expand_synonyms, split_identifier
+from graphloom.functions.text import basic_tokens, distinct_words, doc_tokens, expand_synonyms
 from graphloom.session import cut, spread
 
 K1, B = 1.5, 0.75
@@ -23,7 +23,7 @@ def tokenised(docs: DataFrame, tokens: Callable[[str], Column] = doc_tokens) ->
     """id, toks, len. One projection for each step, so that no step is worked out again for the next."""
     docs = spread(docs)
     if tokens is doc_tokens:
-        toks = docs.select("id", split_identifier("text").alias("words")).select("id", expand_synonyms(F.col("words")).alias("toks"))
+        toks = docs.select("id", distinct_words("text").alias("words")).select("id", expand_synonyms(F.col("words")).alias("toks"))
     else:
         toks = docs.select("id", tokens("text").alias("toks"))
     return toks.select("id", "toks", F.size("toks").alias("len"))
@@ -204,14 +204,23 @@ def _dense(batch: pa.RecordBatch, terms: pa.Array, idf: np.ndarray) -> Iterator[
         yield s, d
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut where a part ends, as a task may read several parts."""
+    for batch in batches:
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+        for s, e in zip([0, *ends], ends):
+            if e > s:
+                yield batch.slice(s, e - s)
+
+
 def _gram(terms: pa.Array, idf: np.ndarray, first: dict[int, int], k: int):
-    """Products of the terms over a partition's documents, and of the terms with the start vectors: a row for each term."""
+    """Products of the terms over a task's documents, and of the terms with the start vectors: a row for each term."""
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = len(terms), None
-        for batch in batches:
-            position = batch.column("position").to_numpy(zero_copy_only=False)
-            index = first[int(batch.column("part")[0].as_py())] + position if batch.num_rows else position
+        for batch in _runs(batches):
+            index = first[int(batch.column("part")[0].as_py())] + batch.column("position").to_numpy(zero_copy_only=False)
             for s, d in _dense(batch, terms, idf):
                 total = np.zeros((m, m + k)) if total is None else total
                 total[:, :m] += d.T @ d
@@ -289,13 +298,13 @@ def _latent(terms: pa.Array, idf: np.ndarray, ws: np.ndarray, ss: np.ndarray):
         for batch in batches:
             for s, d in _dense(batch, terms, idf):
                 vec = _stable(d @ ws) * ss
-                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(d)), batch.column("id").slice(s, len(d)), pa.array(list(vec), pa.list_(pa.float64()))], names=["kind", "key", "vec"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, len(d)), pa.array(list(vec), pa.list_(pa.float64()))], names=["key", "vec"])
 
     return latent
 
 
 def lsa_index(docs: DataFrame, rank: int = MAX_RANK) -> DataFrame:
-    """Rows ('term', term, U row), ('doc', id, S * V row) and ('sigma', '', S).
+    """Rows ('term', term, U row), ('idf', term, its weight), ('doc', id, S * V row) and ('sigma', '', S).
 
     The vocabulary is capped, so the products of its terms are one matrix of at most 2,000 rows: the tasks add it up over the
     documents, the driver iterates on it, and the documents' rows come from a second pass. Nothing grows with the documents.
@@ -323,16 +332,18 @@ def lsa_index(docs: DataFrame, rank: int = MAX_RANK) -> DataFrame:
     for r in ends:
         sign[r["c"]] = -1.0 if r["value"] < 0 else 1.0
     us, ss, ws = _stable(us * sign), _stable(ss), ws * sign
-    fixed = spark.createDataFrame([("term", t, u) for t, u in zip(names, us.tolist())] + [("sigma", "", ss.tolist())], LSA)
-    return fixed.unionByName(lean.mapInArrow(_latent(terms, idf, ws, ss), LSA))
+    fixed = spark.createDataFrame([("term", t, u) for t, u in zip(names, us.tolist())] + [("idf", t, [w]) for t, w in zip(names, idf.tolist())] + [("sigma", "", ss.tolist())], LSA)
+    rows = lean.mapInArrow(_latent(terms, idf, ws, ss), "key string, vec array<double>").select(F.lit("doc").alias("kind"), "key", "vec")
+    return fixed.unionByName(rows)  # of a constant kind, so that whoever asks for another kind does not run them
 
 
 def lsa_query(index: DataFrame, docs: DataFrame, query: str) -> DataFrame:
-    """id, score > 0: cosine of the documents with the query in latent space."""
+    """id, score > 0: cosine of the documents with the query in latent space. The index has all that is needed of the texts."""
     spark = docs.sparkSession
     terms = query_terms(query, spark)
     length = terms.agg(F.greatest(F.count("*"), F.lit(1)).alias("len"))
-    weighted = terms.join(vocabulary(docs), "term").crossJoin(length).select(F.col("term").alias("key"), (F.col("idf") / F.col("len")).alias("w"))
+    known = index.filter("kind = 'idf'").select(F.col("key").alias("term"), F.col("vec")[0].alias("idf"))
+    weighted = terms.join(known, "term").crossJoin(length).select(F.col("term").alias("key"), (F.col("idf") / F.col("len")).alias("w"))
     parts = index.filter("kind = 'term'").join(weighted, "key").select(F.posexplode(F.transform("vec", lambda x: x * F.col("w"))).alias("p", "x"))
     q = parts.groupBy("p").agg(F.sum("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("l")).select(F.transform("l", lambda s: s["x"]).alias("q"))
     vectors = index.filter("kind = 'doc'").select(F.col("key").alias("id"), "vec")

@@ -94,3 +94,12 @@ def test_named_edges_keep_files_apart(spark):
     files = spark.createDataFrame([(f"f{i}.ts", "typescript", "function a() { return b() }\nfunction b() { return 1 }") for i in range(3)], "path string, language string, text string")
     calls = extract.named_edges(files).filter("kind = 'calls'").select("path", "source", "target", "line").collect()
     assert sorted(tuple(r) for r in calls) == [(f"f{i}.ts", "a", "b", 1) for i in range(3)]
+
+
+def test_the_index_answers_without_the_texts(spark):
+    from graphloom.operators import retrieval as R
+
+    docs = spark.createDataFrame([(f"d{i}", f"user login w{i % 7}x session error") for i in range(40)], "id string, text string")
+    index = R.lsa_index(docs, 4)
+    asked = R.lsa_query(index, docs, "user login")
+    assert plan(asked).count("MapInArrow") == 1 and "text#" not in plan(asked) and asked.count() > 0
