@@ -323,7 +323,8 @@ def lsa_index(docs: DataFrame, rank: int = MAX_RANK) -> DataFrame:
     first, before = {}, 0
     for r in lean.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
         first[r["part"]], before = before, before + r["n"]
-    parts = lean.mapInArrow(_gram(terms, idf, first, k), "t int, vec array<double>").withColumn("part", F.spark_partition_id())
+    tasks = lean.coalesce(spark.sparkContext.defaultParallelism)  # each sends a whole matrix, so as many as can run and not one for each partition
+    parts = tasks.mapInArrow(_gram(terms, idf, first, k), "t int, vec array<double>").withColumn("part", F.spark_partition_id())
     sums = parts.repartition("t").sortWithinPartitions("t", "part").select("t", "vec").mapInArrow(_summed, "t int, vec array<double>").orderBy("t").toArrow()
     both = np.stack([v.values.to_numpy(zero_copy_only=False) for v in sums.column("vec")])
     us, ss, ws = _components(both[:, : len(names)], both[:, len(names) :], POWER_STEPS)

@@ -103,3 +103,11 @@ def test_the_index_answers_without_the_texts(spark):
     index = R.lsa_index(docs, 4)
     asked = R.lsa_query(index, docs, "user login")
     assert plan(asked).count("MapInArrow") == 1 and "text#" not in plan(asked) and asked.count() > 0
+
+
+def test_singular_values_leave_the_documents_rows_out(spark):
+    from graphloom.operators import retrieval as R
+
+    docs = spark.createDataFrame([(f"d{i}", f"user login w{i % 7}x session error") for i in range(40)], "id string, text string").repartition(9)
+    index = R.lsa_index(docs, 4)
+    assert "MapInArrow" not in plan(index.filter("kind = 'sigma'")) and index.filter("kind = 'doc'").count() == 40
