@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import dirname, normalize_path
+from graphloom.session import cut, few
 
 _TRY = ("", *(f".{e}" for e in ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")))
 _INDEX = tuple(f"/index.{e}" for e in ("ts", "tsx", "js", "jsx"))
@@ -36,8 +37,10 @@ def resolve_imports(nodes: DataFrame, edges: DataFrame, imports: DataFrame, file
 
     The first import row (seq) of the local name counts; a default import needs a file with one export; namespace imports stay.
     """
-    first = imports.groupBy("file", "local_name").agg(F.min_by(F.struct("imported_name", "module_spec"), "seq").alias("i")).select("file", "local_name", "i.*").filter("imported_name <> '*'")
-    placed = first.join(resolve_modules(imports, files), ["file", "module_spec"])
+    # dealt before they are grouped: else a task would sort all the import rows that it makes; the modules are few beside them
+    dealt = imports.select("file", "local_name", "imported_name", "module_spec", "seq").repartition("file", "local_name")
+    first = dealt.groupBy("file", "local_name").agg(F.min_by(F.struct("imported_name", "module_spec"), "seq").alias("i")).select("file", "local_name", "i.*").filter("imported_name <> '*'")
+    placed = first.join(few(cut(resolve_modules(imports, files))), ["file", "module_spec"])
     exported = nodes.filter("is_exported").select(F.col("file_path").alias("target_file"), F.col("qualified_name").alias("imported_name"), F.col("id").alias("new_target"))
     single = exported.groupBy("target_file").agg(F.count("*").alias("n"), F.max("new_target").alias("new_target")).filter("n = 1").select("target_file", F.lit("default").alias("imported_name"), "new_target")
     exported = exported.filter("imported_name <> 'default'").unionByName(single).groupBy("target_file", "imported_name").agg(F.max("new_target").alias("new_target"))

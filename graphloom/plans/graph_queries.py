@@ -348,11 +348,12 @@ def resolve_module_first_match(s, d):
 CASE WHEN p.is_exported AND e.provenance = 'unresolved' THEN 'import-resolution' ELSE 'lift' END AS resolver FROM edges e JOIN nodes p ON p.id = e.target WHERE e.kind = 'calls'""")
 def resolve_imports(s, d):
     """Suppliers' files import every part by name from its file; unresolved calls of exported parts lead there."""
-    nodes, edges = _graph(s, d)
+    nodes, edges = _packed(s, d)
     parts = nodes.filter("kind = 'interface'").select("qualified_name", F.concat(F.lit("../"), F.regexp_replace("file_path", r"\.ts$", "")).alias("module_spec"))
     files = nodes.filter("kind = 'struct'").select(F.col("file_path").alias("file")).distinct()
     imports = files.crossJoin(parts).select("file", F.col("qualified_name").alias("local_name"), F.col("qualified_name").alias("imported_name"), "module_spec", F.lit(1).alias("seq"))
-    return V.resolve_imports(nodes, edges, imports, L.roles(nodes)).filter("kind = 'calls'").select("source", "target", "line", "provenance", "resolver")
+    resolved = V.resolve_imports(nodes, edges, imports, L.roles(nodes)).filter("kind = 'calls'").select("source", "target", "line", "provenance", "resolver")
+    return L.unpacked(resolved, "source", "target")
 
 
 @query(f"""{WITH}, sp AS (SELECT id, qualified_name, string_split(qualified_name, '.') AS p FROM nodes) SELECT id, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS name FROM sp""")

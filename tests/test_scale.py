@@ -111,3 +111,13 @@ def test_singular_values_leave_the_documents_rows_out(spark):
     docs = spark.createDataFrame([(f"d{i}", f"user login w{i % 7}x session error") for i in range(40)], "id string, text string").repartition(9)
     index = R.lsa_index(docs, 4)
     assert "MapInArrow" not in plan(index.filter("kind = 'sigma'")) and index.filter("kind = 'doc'").count() == 40
+
+
+def test_import_rows_are_dealt_before_they_are_sorted(spark):
+    from graphloom.operators import resolve as V
+    from graphloom.schema import IMPORTS
+
+    nodes, edges, _ = small_graph(spark)
+    imports = spark.createDataFrame([("d/1.py", "f3", "f3", "./2.py", 1, 1)], IMPORTS)
+    files = spark.createDataFrame([(f"d/{i}.py",) for i in range(7)], "path string")
+    assert plan(V.resolve_imports(nodes, edges, imports, files)).count("REPARTITION_BY_COL") == 1
