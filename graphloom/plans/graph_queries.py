@@ -87,7 +87,7 @@ def refs_rw(s, d):
   FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN ('calls', 'references', 'imports') AND a.file_path <> b.file_path)
 SELECT file, target, name, provenance, kind FROM u WHERE rn = 1""")
 def deps_last_wins(s, d):
-    return G.dependencies(*_graph(s, d))
+    return L.unpacked(G.dependencies(*_packed(s, d)), "target")
 
 
 @query(f"""{WITH}, {START}, back AS (SELECT DISTINCT target AS id, source AS via FROM edges WHERE kind IN ('calls', 'references')),

@@ -121,3 +121,9 @@ def test_import_rows_are_dealt_before_they_are_sorted(spark):
     imports = spark.createDataFrame([("d/1.py", "f3", "f3", "./2.py", 1, 1)], IMPORTS)
     files = spark.createDataFrame([(f"d/{i}.py",) for i in range(7)], "path string")
     assert plan(V.resolve_imports(nodes, edges, imports, files)).count("REPARTITION_BY_COL") == 1
+
+
+def test_names_meet_only_the_last_dependencies(spark):
+    nodes, edges, _ = small_graph(spark)
+    found = G.dependencies(nodes, edges)
+    assert plan(found).index("Join") < plan(found).index("SortAggregate") and found.count() > 0
