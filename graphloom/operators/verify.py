@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import name_suffixes
 from graphloom.schema import lookup
+from graphloom.session import cut, few
 
 _SCRIPT = tuple("Array Boolean Date Error JSON Map Math Number Object Promise RegExp Set String Symbol clearInterval clearTimeout console fetch isNaN parseFloat parseInt require setInterval setTimeout structuredClone".split())
 BUILTINS: dict[str, tuple[str, ...]] = {
@@ -46,10 +47,12 @@ def overlapping(spans: DataFrame, ranges: DataFrame, bin_size: int = 64) -> Data
 
 def unknown_symbols(calls: DataFrame, nodes: DataFrame, imports: DataFrame, allow: DataFrame) -> DataFrame:
     """Findings for unresolved calls (file, language, line, name) of names that nothing knows; the suffix match is an equality."""
-    known = nodes.filter("kind <> 'unresolved'").select(F.explode(name_suffixes("qualified_name")).alias("name")).distinct()
     builtin = F.coalesce(lookup_builtin(), F.array().cast("array<string>"))
-    left = calls.join(allow.select("name"), "name", "left_anti").join(imports.select("file", F.col("local_name").alias("name")), ["file", "name"], "left_anti").join(known, "name", "left_anti")
-    left = left.filter(~F.array_contains(builtin, F.col("name")))
+    left = calls.join(allow.select("name"), "name", "left_anti").join(imports.select("file", F.col("local_name").alias("name")), ["file", "name"], "left_anti")
+    left = cut(left.filter(~F.array_contains(builtin, F.col("name"))))
+    ends = nodes.filter("kind <> 'unresolved'").select(F.explode(name_suffixes("qualified_name")).alias("name"))
+    known = cut(ends.join(few(cut(left.select("name").distinct())), "name", "left_semi").distinct())  # of all ends only those that are called move
+    left = left.join(few(known), "name", "left_anti")
     severity = F.when(F.col("language").isin(*sorted(BUILTINS)), "error").otherwise("info")
     text = F.concat(F.lit("call to '"), "name", F.lit("': nothing of this name is known here"))
     return left.select(severity.alias("severity"), F.lit("unknown-symbol").alias("rule"), "file", "line", text.alias("message"))

@@ -131,9 +131,9 @@ _ECHO = "echo AS (SELECT 'info' AS severity, 'signature-echo' AS rule, a.file_pa
 
 
 def _echoes(s: SparkSession, d: str) -> DataFrame:
-    nodes = L.nodes(s, d)
+    nodes = L.packed(L.nodes(s, d), "id")
     own = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("file"))
-    calls = L.edges(s, d).filter("kind = 'calls' and provenance <> 'unresolved'").join(own, "source").select("file", "line", "target")
+    calls = L.packed(L.edges(s, d), "source", "target").filter("kind = 'calls' and provenance <> 'unresolved'").join(own, "source").select("file", "line", "target")
     return Y.signature_echoes(calls, nodes)
 
 

@@ -127,3 +127,13 @@ def test_names_meet_only_the_last_dependencies(spark):
     nodes, edges, _ = small_graph(spark)
     found = G.dependencies(nodes, edges)
     assert plan(found).index("Join") < plan(found).index("SortAggregate") and found.count() > 0
+
+
+def test_names_that_nothing_calls_do_not_move(spark):
+    from graphloom.operators import verify as Y
+
+    nodes, _, _ = small_graph(spark)
+    calls = spark.createDataFrame([("a.py", "python", 1, n) for n in ("f1", "ghost")], "file string, language string, line int, name string")
+    none = spark.createDataFrame([], "file string, local_name string"), spark.createDataFrame([], "name string")
+    found = Y.unknown_symbols(calls, nodes, *none)
+    assert "Generate" not in plan(found) and "SortMergeJoin" not in plan(found) and [r.severity for r in found.collect()] == ["error"]
