@@ -64,7 +64,7 @@ def stats(s, d):
 
 @query(f"{WITH} SELECT source, target, kind, line, provenance, row_number() OVER (PARTITION BY source ORDER BY target, kind, line, provenance)::INT AS pos FROM edges")
 def outgoing_ordered(s, d):
-    return G.outgoing(L.edges(s, d)).select("source", "target", "kind", "line", "provenance", "pos")
+    return L.unpacked(G.outgoing(_packed(s, d)[1].select("source", "target", "kind", "line", "provenance")), "source", "target")
 
 
 @query(f"{WITH} SELECT target, source, line, provenance, row_number() OVER (PARTITION BY target ORDER BY source, kind, line, provenance)::INT AS pos FROM edges WHERE kind = 'calls'")

@@ -137,3 +137,11 @@ def test_names_that_nothing_calls_do_not_move(spark):
     none = spark.createDataFrame([], "file string, local_name string"), spark.createDataFrame([], "name string")
     found = Y.unknown_symbols(calls, nodes, *none)
     assert "Generate" not in plan(found) and "SortMergeJoin" not in plan(found) and [r.severity for r in found.collect()] == ["error"]
+
+
+@needs_tables
+def test_ordered_edges_are_sorted_by_bytes(spark):
+    from graphloom.plans import registry
+
+    found = registry.QUERIES["outgoing_ordered"](spark, DATA)
+    assert "unhex" in plan(found) and {len(r.source) for r in found.limit(5).collect()} == {24}
