@@ -145,3 +145,11 @@ def test_ordered_edges_are_sorted_by_bytes(spark):
 
     found = registry.QUERIES["outgoing_ordered"](spark, DATA)
     assert "unhex" in plan(found) and {len(r.source) for r in found.limit(5).collect()} == {24}
+
+
+@needs_tables
+def test_counts_of_findings_carry_bytes_and_no_messages(spark):
+    from graphloom.plans import registry
+
+    found = plan(registry.QUERIES["severity_counts"](spark, DATA))
+    assert "unhex" in found and " is " not in found
