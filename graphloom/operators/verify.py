@@ -71,13 +71,13 @@ def signature_echoes(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def blast_radius(changed: DataFrame, nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
     """Findings for changed definitions (id, file, line, qualified_name) with callers in files outside the change."""
-    outside = nodes.join(changed_files.select(F.col("file").alias("file_path")), "file_path", "left_anti").select(F.col("id").alias("source"), F.col("file_path").alias("cf"), F.col("start_line").alias("cl"))
-    calls = edges.filter("kind = 'calls'").select("source", F.col("target").alias("id")).distinct()
-    each = calls.join(changed, "id").join(outside, "source")
-    n = each.groupBy("id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("cf", "cl", "source"))
-    top = each.withColumn("r", rank).filter(F.col("r") <= 3).groupBy("id", "file", "line", "qualified_name").agg(F.array_sort(F.collect_list(F.struct("cf", "cl"))).alias("c"))
-    by = top.join(n, "id")
+    files = few(cut(changed_files.select(F.col("file").alias("file_path"))))
+    outside = nodes.join(files, "file_path", "left_anti").select(F.col("id").alias("source"), F.col("file_path").alias("cf"), F.col("start_line").alias("cl"))
+    calls = edges.filter("kind = 'calls'").select("source", F.col("target").alias("id"))
+    each = calls.join(changed, "id").distinct().join(outside, "source")  # distinct where the join has dealt them by id already
+    w = W.partitionBy("id")
+    ranked = each.withColumn("r", F.row_number().over(w.orderBy("cf", "cl", "source"))).withColumn("n", F.count("*").over(w))
+    by = ranked.filter(F.col("r") <= 3).groupBy("id", "file", "line", "qualified_name").agg(F.array_sort(F.collect_list(F.struct("cf", "cl"))).alias("c"), F.first("n").alias("n"))
     some = F.array_join(F.transform("c", lambda x: F.concat(x["cf"], F.lit(":"), x["cl"].cast("string"))), ", ")
     text = F.concat("qualified_name", F.lit(" changed, callers outside the change: "), F.col("n").cast("string"), F.lit(" ("), some, F.lit(")"))
     return by.select(F.lit("warn").alias("severity"), F.lit("blast-radius").alias("rule"), "file", "line", text.alias("message"))

@@ -151,7 +151,7 @@ def _blast(s: SparkSession, d: str) -> DataFrame:
     nodes, ranges = L.packed(L.nodes(s, d), "id"), _changed_ranges(s, d)
     spans = nodes.filter(F.col("kind").isin(*Y.CHANGED_KINDS)).select("id", F.col("file_path").alias("file"), "start_line", "end_line", "qualified_name")
     changed = Y.overlapping(spans, ranges).select("id", "file", F.col("start_line").alias("line"), "qualified_name")
-    return Y.blast_radius(changed, nodes, L.edges(s, d), ranges.select("file").distinct())
+    return Y.blast_radius(changed, nodes, L.packed(L.edges(s, d), "source", "target"), ranges.select("file").distinct())
 
 
 @query(f"{WITH}, {_BLAST} SELECT * FROM blast")

@@ -153,3 +153,13 @@ def test_counts_of_findings_carry_bytes_and_no_messages(spark):
 
     found = plan(registry.QUERIES["severity_counts"](spark, DATA))
     assert "unhex" in found and " is " not in found
+
+
+def test_blast_radius_deals_no_nodes_by_file(spark):
+    from graphloom.operators import verify as Y
+
+    nodes, edges, _ = small_graph(spark)
+    changed = nodes.filter("file_path = 'd/1.py'").selectExpr("id", "file_path as file", "start_line as line", "qualified_name")
+    found = Y.blast_radius(changed, nodes, edges.unionByName(edges), changed.select("file").distinct())
+    assert "hashpartitioning(file_path" not in plan(found)
+    assert {r.message.split(": ")[1].split(" ")[0] for r in found.collect()} <= {"1", "2", "3"} and found.count() > 0
